@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,7 +41,7 @@ from clausewise.llm.quality import labelled
 BUCKETS = 1 << 18
 CHUNK = 128
 #: Words whose potentials a worker remembers; beyond that it starts anew.
-CACHE = 1_000_000
+CACHE = 300_000
 WORD = re.compile(r"\w+")
 NAMES = ("score", "predicted", "spans")
 
@@ -121,40 +122,33 @@ class ToxicityModel:
     start: np.ndarray
     weights: tuple[float, ...] = ()
     cache: dict = field(default_factory=dict, repr=False, compare=False)
-    known: list = field(default_factory=list, repr=False, compare=False)
+    known: array = field(default_factory=lambda: array("d"), repr=False, compare=False)
     table: list = field(default_factory=list, repr=False, compare=False)
-    held: np.ndarray | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}, "known": [], "table": [], "held": None}
+        return {**self.__dict__, "cache": {}, "known": array("d"), "table": []}
 
     def of(self, word: str) -> int:
         """The place of a new word among those remembered."""
         own = self.table
         p, s = around(word)
-        got = self.cache[word] = len(self.known)
-        self.known.append((sum([own[k] for k in features(word)]), own[p], own[s]))
+        got = self.cache[word] = len(self.known) // 3
+        self.known.extend((sum([own[k] for k in features(word)]), own[p], own[s]))
         return got
 
     def tokens(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
         """Words of each text, and each word's three potentials."""
         if not self.table:
             self.table = self.own.tolist()
-        if len(self.known) >= CACHE:
+        if len(self.cache) >= CACHE:
             self.cache.clear()
-            self.known.clear()
-        get, new, counts, ids, old = self.cache.get, self.of, [], [], len(self.known)
+            del self.known[:]
+        get, new, counts, ids = self.cache.get, self.of, [], []
         for t in texts:
             words = WORD.findall(t.lower())
             counts.append(len(words))
             ids += [new(w) if (k := get(w)) is None else k for w in words]
-        if len(self.known) > old:
-            if self.held is None or len(self.held) < len(self.known):
-                wider = np.empty((2 * len(self.known), 3))
-                wider[:old] = self.held[:old] if old else 0
-                self.held = wider
-            self.held[old : len(self.known)] = self.known[old:]
-        return counts, self.held[np.array(ids, dtype=np.int64)].reshape(-1, 3) if ids and self.held is not None else np.zeros((0, 3))
+        return counts, np.array(self.known).reshape(-1, 3)[np.array(ids, dtype=np.int64)]
 
     def marginals(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
         """Words of each text, and for each word the probability that it is toxic."""
