@@ -11,14 +11,15 @@ from clausewise.functions.text import has
 from clausewise.operators import parties, rules
 
 LEAST_CLAUSES = 5
-ANALYSABLE = (F.col("kind") == "clause") & (F.trim("text") != "")
+def analysable() -> Column:
+    return (F.col("kind") == "clause") & (F.trim("text") != "")
 
 
 def of_clauses(clauses: DataFrame, requests: DataFrame, chosen=rules.RULES) -> DataFrame:
     """clauses (doc_id, clause_id, clause_ord, text, lang, kind) for requests (doc_id, party_role): a row for each hit against the role."""
     asked = requests.withColumn("contract_type", lookup(TYPE_OF, F.col("party_role")))
     types = asked.select("doc_id", "contract_type").distinct()
-    found = rules.hits(clauses.where(ANALYSABLE).join(types, "doc_id"), chosen)
+    found = rules.hits(clauses.where(analysable()).join(types, "doc_id"), chosen)
     each = found.select("doc_id", "contract_type", "clause_id", "clause_ord", "text", F.posexplode("hits").alias("hit_ord", "h"))
     mine = each.join(asked, ["doc_id", "contract_type"]).where(F.array_contains("h.against", F.col("party_role")))
     quotes = F.transform("h.evidence", lambda s: F.struct(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("quote"), s["start"].alias("start"), s["end"].alias("end")))
@@ -36,7 +37,7 @@ def dedupe(findings: DataFrame) -> DataFrame:
 def of_documents(clauses: DataFrame, requests: DataFrame) -> DataFrame:
     """Checks of whole documents: force majeure missing, liability on one side only."""
     asked = requests.withColumn("contract_type", lookup(TYPE_OF, F.col("party_role")))
-    usable = ANALYSABLE
+    usable = analysable()
     fm = has(F.col("text"), rules.FORCE_MAJEURE) | F.coalesce(has(F.col("section_title"), rules.FORCE_MAJEURE), F.lit(False))
     per = clauses.groupBy("doc_id").agg(F.count_if(usable).alias("n"), F.bool_or(fm).alias("fm")).where(F.col("n") >= LEAST_CLAUSES)
     missing = per.where("not fm").join(asked, "doc_id").select("doc_id", "party_role", F.lit("document.force_majeure_missing").alias("rule_id"), F.lit("force_majeure").alias("category"), F.lit(0.9).alias("confidence"), F.lit(None).cast("map<string,string>").alias("details"))

@@ -16,14 +16,14 @@ def prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
 
 def outcomes(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each distinct key of either side with tp, fp and fn (0 or 1); null keys match null keys."""
-    g, p = gold.select(*keys).distinct().withColumn("__g", F.lit(1)), predicted.select(*keys).distinct().withColumn("__p", F.lit(1))
-    on = [g[k].eqNullSafe(p[k]) for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
+    g = gold.select(*keys).distinct().withColumn("__g", F.lit(1))
+    p = predicted.select(*[F.col(k).alias(f"__p_{k}") for k in keys]).distinct().withColumn("__p", F.lit(1))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__p_{k}"))
     both = g.join(p, cond, "full")
     hit, want = F.col("__p").isNotNull(), F.col("__g").isNotNull()
-    return both.select(*[F.coalesce(g[k], p[k]).alias(k) for k in keys], (hit & want).cast("int").alias("tp"), (hit & ~want).cast("int").alias("fp"), (~hit & want).cast("int").alias("fn"))
+    return both.select(*[F.coalesce(F.col(k), F.col(f"__p_{k}")).alias(k) for k in keys], (hit & want).cast("int").alias("tp"), (hit & ~want).cast("int").alias("fp"), (~hit & want).cast("int").alias("fn"))
 
 
 def scored(counts: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -26,11 +26,17 @@ PAYS = {
 }
 RIGHT = {"ru": r"(?<!не\s)(?:вправе|имеет\s+право|может|могут|по\s+своему\s+усмотрению)", "kk": r"(?:құқылы|құқығы\s+бар|\w+\s+алады)"}
 
-TEXT, TYPE, LANG, MENTIONS = F.col("text"), F.col("contract_type"), F.col("lang"), F.col("mentions")
+def column(name: str):
+    """A column by name, made when it is asked for: columns need a session, modules load without one."""
+    return lambda: F.col(name)
 
 
-def mentions(text: Column = TEXT, contract_type: Column = TYPE, lang: Column = LANG) -> Column:
+TEXT, TYPE, LANG, MENTIONS = column("text"), column("contract_type"), column("lang"), column("mentions")
+
+
+def mentions() -> Column:
     """Role nouns of the contract's two parties in order of place; third parties of the same name are left out."""
+    text, contract_type, lang = TEXT(), TYPE(), LANG()
     empty = F.array().cast(MENTION)
     found = []
     for language, stems in STEMS.items():
@@ -49,24 +55,25 @@ def _named(stem: str, endings: dict[str, str], role: str):
     return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(role).alias("role"), lookup(endings, F.lower(F.regexp_replace(s["hit"], FLAGS + "^" + stem, ""))).alias("gcase"))
 
 
-def mutual(text: Column = TEXT, lang: Column = LANG) -> Column:
+def mutual() -> Column:
+    text, lang = TEXT(), LANG()
     return F.when(lang == "kk", has(text, MUTUAL["kk"])).otherwise(has(text, MUTUAL["ru"]))
 
 
 def followed(m: Column, pattern: str, n: int = 80) -> Column:
-    return has(after(TEXT, m["end"], n), rf"^[^.;]*?{pattern}")
+    return has(after(TEXT(), m["end"], n), rf"^[^.;]*?{pattern}")
 
 
 def preceded(m: Column, pattern: str, n: int = 40) -> Column:
-    return has(before(TEXT, m["start"], n), rf"{pattern}\s*$")
+    return has(before(TEXT(), m["start"], n), rf"{pattern}\s*$")
 
 
 def in_case(*cases: str) -> Column:
-    return F.array_distinct(F.transform(F.filter(MENTIONS, lambda m: m["gcase"].isin(*cases)) if cases else MENTIONS, lambda m: m["role"]))
+    return F.array_distinct(F.transform(F.filter(MENTIONS(), lambda m: m["gcase"].isin(*cases)) if cases else MENTIONS(), lambda m: m["role"]))
 
 
 def chosen(test) -> Column:
-    return F.array_distinct(F.transform(F.filter(MENTIONS, test), lambda m: m["role"]))
+    return F.array_distinct(F.transform(F.filter(MENTIONS(), test), lambda m: m["role"]))
 
 
 def payers() -> Column:
@@ -77,9 +84,9 @@ def payers() -> Column:
         | ((m["gcase"] == "ins") & preceded(m, r"(?:уплачиваем\w*|выплачиваем\w*|оплачивается|уплачивается|выплачивается)"))
         | ((m["gcase"] == "nom") & followed(m, PAYS["ru"]))
     )
-    found = F.when(LANG == "kk", kk).otherwise(ru)
+    found = F.when(LANG() == "kk", kk).otherwise(ru)
     alone = in_case("nom")
-    holds = F.exists(MENTIONS, lambda m: (m["gcase"] == "nom") & F.when(LANG == "kk", followed(m, RIGHT["kk"], 60)).otherwise(followed(m, RIGHT["ru"], 60)))
+    holds = F.exists(MENTIONS(), lambda m: (m["gcase"] == "nom") & F.when(LANG() == "kk", followed(m, RIGHT["kk"], 60)).otherwise(followed(m, RIGHT["ru"], 60)))
     return F.when(F.size(found) > 0, found).when((F.size(alone) == 1) & ~holds, alone).otherwise(F.array().cast("array<string>"))
 
 
@@ -94,27 +101,27 @@ def both() -> Column:
     out = None
     for t, rs in TYPES.items():
         pair = F.array(*map(F.lit, rs))
-        out = F.when(TYPE == t, pair) if out is None else out.when(TYPE == t, pair)
+        out = F.when(TYPE() == t, pair) if out is None else out.when(TYPE() == t, pair)
     return out
 
 
 def side(i: int) -> Column:
     """0: the drafting party, 1: the other one."""
-    return lookup({t: rs[i] for t, rs in TYPES.items()}, TYPE)
+    return lookup({t: rs[i] for t, rs in TYPES.items()}, TYPE())
 
 
 def right_holders(ru: str, kk: str) -> Column:
-    return F.when(LANG == "kk", chosen(lambda m: (m["gcase"] == "nom") & followed(m, kk, 250))).otherwise(
+    return F.when(LANG() == "kk", chosen(lambda m: (m["gcase"] == "nom") & followed(m, kk, 250))).otherwise(
         chosen(lambda m: ((m["gcase"] == "nom") & followed(m, rf"{RIGHT['ru']}[^.;]{{0,80}}?{ru}", 200)) | ((m["gcase"] == "ins") & preceded(m, rf"{ru}\w*(?:\s+\w+){{0,3}}", 80)))
     )
 
 
 def released(pattern: str) -> Column:
     """Subjects of a verb: nominatives that are the nearest to the verb found around them."""
-    nominative = F.filter(MENTIONS, lambda m: m["gcase"] == "nom")
+    nominative = F.filter(MENTIONS(), lambda m: m["gcase"] == "nom")
 
     def verb(m: Column) -> Column:
-        window = F.concat(before(TEXT, m["start"], 120), F.substring(TEXT, m["start"] + 1, m["end"] - m["start"] + 150))
+        window = F.concat(before(TEXT(), m["start"], 120), F.substring(TEXT(), m["start"] + 1, m["end"] - m["start"] + 150))
         return F.greatest(m["start"] - 120, F.lit(0)) + F.get(spans(window, pattern), F.lit(0))["start"]
 
     def nearest(m: Column) -> Column:

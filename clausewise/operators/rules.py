@@ -14,7 +14,7 @@ from clausewise.dims import TYPE_OF, counterparty, lookup
 from clausewise.functions import numbers
 from clausewise.functions.text import after, before, has, spans
 from clausewise.operators import parties
-from clausewise.operators.parties import LANG, MENTIONS, TEXT, TYPE, right_holders
+from clausewise.operators.parties import LANG, MENTIONS, TEXT, TYPE, column, right_holders
 
 LOW, MEDIUM, HIGH = 1, 2, 3
 HIT = "array<struct<rule_id:string,category:string,level:int,against:array<string>,evidence:array<struct<start:int,end:int>>,details:map<string,string>>>"
@@ -84,17 +84,20 @@ REFUSAL = r"(?:отказаться\s+от\s+приемки|не\s+приним
 ARBITRARY = r"(?:по\s+(?:своему|собственному)\s+усмотрению|без\s+(?:объяснения|указания)\s+(?:причин|мотивов)|мотивировать\s+отказ\s+\w*\s*не\s+обязан)"
 DAMAGES = r"(?:возмеща|возмещени|убытк|ущерб|ответственност|отвеча|залал|жауапты|жауап\s+береді)"
 
-NONE = F.array().cast(HIT)
-RATE, CAP, FINE = F.col("rate"), F.col("cap"), F.col("fine")
-DURATIONS, NOTICES, TERMS = F.col("durations"), F.col("notices"), F.col("terms")
+RATE, CAP, FINE, BURDEN = column("rate"), column("cap"), column("fine"), column("burden")
+DURATIONS, NOTICES, TERMS = column("durations"), column("notices"), column("terms")
+
+
+def NONE() -> Column:
+    return F.array().cast(HIT)
 
 
 def text_has(p: str) -> Column:
-    return has(TEXT, p)
+    return has(TEXT(), p)
 
 
 def first(p: str) -> Column:
-    return F.get(spans(TEXT, p), F.lit(0))
+    return F.get(spans(TEXT(), p), F.lit(0))
 
 
 def marks(*found: Column) -> Column:
@@ -124,35 +127,34 @@ def lowered(level: Column, mutual: Column) -> Column:
     return F.when(~mutual, level).when(level > LOW, level - 1)
 
 
-BURDEN = F.col("burden")
 
 
 def money(rule_id: str, level: Column, evidence: Column, **details: Column) -> Column:
     """A hit against whom the clause burdens."""
-    final = lowered(level, BURDEN["mutual"])
-    return F.when(final.isNotNull() & BURDEN.isNotNull(), one(rule_id, final, BURDEN["against"], evidence, **details))
+    final = lowered(level, BURDEN()["mutual"])
+    return F.when(final.isNotNull() & BURDEN().isNotNull(), one(rule_id, final, BURDEN()["against"], evidence, **details))
 
 
 def daily_rate() -> Column:
-    r = RATE["value"]
+    r = RATE()["value"]
     level = F.when(r >= 0.5, HIGH).when(r > 0.1, MEDIUM).when(r.isNotNull() & ~F.col("capped"), LOW)
-    return money("penalty.daily_rate", level, marks(RATE, CAP), daily_rate=r, capped=F.col("capped"), mutual=BURDEN["mutual"])
+    return money("penalty.daily_rate", level, marks(RATE(), CAP()), daily_rate=r, capped=F.col("capped"), mutual=BURDEN()["mutual"])
 
 
 def single_fine() -> Column:
-    f = FINE["value"]
+    f = FINE()["value"]
     level = F.when(f >= 30, HIGH).when(f > 10, MEDIUM)
-    return F.when(RATE.isNull() & ~text_has(TERMINATION_CONTEXT), money("penalty.fine", level, marks(FINE), fine_percent=f))
+    return F.when(RATE().isNull() & ~text_has(TERMINATION_CONTEXT), money("penalty.fine", level, marks(FINE()), fine_percent=f))
 
 
 def auto_renewal() -> Column:
     renewal, discretion, must = first(RENEWAL), first(DISCRETION), first(MUST_NOTIFY)
-    setter = F.array_min(F.transform(MENTIONS, lambda m: F.struct(F.abs(m["start"] - discretion["start"]), m["start"], m["role"])))["role"]
-    longest = numbers.extreme(NOTICES, largest=True)
-    notifier = F.try_element_at(F.filter(MENTIONS, lambda m: (m["gcase"] == "nom") & (m["start"] < must["start"])), F.lit(-1))["role"]
+    setter = F.array_min(F.transform(MENTIONS(), lambda m: F.struct(F.abs(m["start"] - discretion["start"]), m["start"], m["role"])))["role"]
+    longest = numbers.extreme(NOTICES(), largest=True)
+    notifier = F.try_element_at(F.filter(MENTIONS(), lambda m: (m["gcase"] == "nom") & (m["start"] < must["start"])), F.lit(-1))["role"]
     notifier = F.when(must.isNotNull() & ~F.col("mutual"), notifier)
     against = F.when(notifier.isNotNull(), F.array(notifier)).otherwise(parties.both())
-    agreed = text_has(BY_AGREEMENT) & ~F.lower(TEXT).contains("автоматически")
+    agreed = text_has(BY_AGREEMENT) & ~F.lower(TEXT()).contains("автоматически")
     return F.when(
         renewal.isNotNull() & ~agreed,
         F.when(discretion.isNotNull() & text_has(PRICE) & setter.isNotNull(), one("auto_renewal.price_on_renewal", F.lit(HIGH), F.array(counterparty(setter)), marks(renewal, discretion), setter=setter))
@@ -173,7 +175,7 @@ def exclusion() -> Column:
     def by(p: str) -> Column:
         return F.when(text_has(p), each(parties.released(p), "liability.exclusion", level, marks(first(p), broad), broad=broad.isNotNull()))
 
-    return F.when(~text_has(FORCE_MAJEURE), F.when(LANG == "kk", by(NOT_LIABLE_KK)).otherwise(by(NOT_LIABLE_RU)))
+    return F.when(~text_has(FORCE_MAJEURE), F.when(LANG() == "kk", by(NOT_LIABLE_KK)).otherwise(by(NOT_LIABLE_RU)))
 
 
 def force_majeure() -> Column:
@@ -182,11 +184,11 @@ def force_majeure() -> Column:
 
 def jurisdiction() -> Column:
     def there(m: Column) -> Column:
-        kk = has(F.substring(TEXT, m["end"] + 1, F.length(TEXT)), r"^\s*орналасқан\s+жері\s+бойынша")
-        ru = has(before(TEXT, m["start"], 40), r"по\s+месту\s+(?:нахождения|регистрации|жительства)\s+$")
-        return (m["gcase"] == "gen") & F.when(LANG == "kk", kk).otherwise(ru)
+        kk = has(F.substring(TEXT(), m["end"] + 1, F.length(TEXT())), r"^\s*орналасқан\s+жері\s+бойынша")
+        ru = has(before(TEXT(), m["start"], 40), r"по\s+месту\s+(?:нахождения|регистрации|жительства)\s+$")
+        return (m["gcase"] == "gen") & F.when(LANG() == "kk", kk).otherwise(ru)
 
-    located = F.get(F.filter(MENTIONS, there), F.lit(0))
+    located = F.get(F.filter(MENTIONS(), there), F.lit(0))
     return F.when(
         text_has(DISPUTE),
         F.when(text_has(FOREIGN), one("jurisdiction.foreign", F.lit(HIGH), parties.both(), marks(first(FOREIGN))))
@@ -196,7 +198,7 @@ def jurisdiction() -> Column:
 
 
 def unilateral_exit() -> Column:
-    shortest = numbers.extreme(NOTICES, largest=False)
+    shortest = numbers.extreme(NOTICES(), largest=False)
     at_once = first(NO_NOTICE)
     level = (
         F.when(at_once.isNotNull(), HIGH)
@@ -210,18 +212,18 @@ def unilateral_exit() -> Column:
 
 def cannot_exit() -> Column:
     active, passive = first(CANNOT_EXIT), first(EXIT_BARRED)
-    bound = F.when(active.isNotNull(), F.try_element_at(F.filter(MENTIONS, lambda m: (m["gcase"] == "nom") & (m["start"] < active["start"])), F.lit(-1))["role"]).when(
-        passive.isNotNull(), F.get(F.filter(MENTIONS, lambda m: (m["start"] >= passive["start"]) & (m["start"] < passive["end"])), F.lit(0))["role"]
+    bound = F.when(active.isNotNull(), F.try_element_at(F.filter(MENTIONS(), lambda m: (m["gcase"] == "nom") & (m["start"] < active["start"])), F.lit(-1))["role"]).when(
+        passive.isNotNull(), F.get(F.filter(MENTIONS(), lambda m: (m["start"] >= passive["start"]) & (m["start"] < passive["end"])), F.lit(0))["role"]
     )
     return F.when(bound.isNotNull(), one("termination.cannot_exit", F.lit(HIGH), F.array(bound), marks(F.coalesce(active, passive))))
 
 
 def early_fee() -> Column:
     def starts(m: Column) -> Column:
-        return (m["gcase"] == "gen") & (has(before(TEXT, m["start"], 25), r"(?:по\s+(?:инициативе|желанию)|отказа|отказе)\s*$") | has(F.substring(TEXT, m["end"] + 1, F.length(TEXT)), r"^\s*бастамасы\s+бойынша"))
+        return (m["gcase"] == "gen") & (has(before(TEXT(), m["start"], 25), r"(?:по\s+(?:инициативе|желанию)|отказа|отказе)\s*$") | has(F.substring(TEXT(), m["end"] + 1, F.length(TEXT())), r"^\s*бастамасы\s+бойынша"))
 
-    initiator = F.get(F.filter(MENTIONS, starts), F.lit(0))["role"]
-    against = F.when(initiator.isNotNull(), F.array(initiator)).when(~BURDEN["mutual"], BURDEN["against"])
+    initiator = F.get(F.filter(MENTIONS(), starts), F.lit(0))["role"]
+    against = F.when(initiator.isNotNull(), F.array(initiator)).when(~BURDEN()["mutual"], BURDEN()["against"])
     rest, months = first(REMAINDER), F.col("months")
     level = F.when(rest.isNotNull() | (months >= 3), HIGH).otherwise(MEDIUM)
     silent = text_has(NO_FEE) | text_has(DEPOSIT) | text_has(FORCE_MAJEURE)
@@ -230,23 +232,23 @@ def early_fee() -> Column:
 
 def deposit() -> Column:
     level = F.when(text_has(ANY_END), HIGH).otherwise(MEDIUM)
-    return F.when((TYPE == "lease") & text_has(DEPOSIT) & text_has(FORFEIT), one("termination.deposit_forfeit", level, F.array(F.lit("tenant")), marks(first(DEPOSIT), first(FORFEIT))))
+    return F.when((TYPE() == "lease") & text_has(DEPOSIT) & text_has(FORFEIT), one("termination.deposit_forfeit", level, F.array(F.lit("tenant")), marks(first(DEPOSIT), first(FORFEIT))))
 
 
 def change() -> Column:
     terms, capped = first(CHANGE_TERMS), first(CHANGE_CAPPED)
     holders = right_holders(CHANGE_RU, CHANGE_KK)
     level = F.when(capped.isNotNull() & terms.isNull(), LOW).otherwise(HIGH)
-    verb = F.when(LANG == "kk", first(CHANGE_KK)).otherwise(first(CHANGE_RU))
+    verb = F.when(LANG() == "kk", first(CHANGE_KK)).otherwise(first(CHANGE_RU))
     evidence = marks(verb, F.coalesce(terms, first(CHANGE_OBJECT)), first(ONE_SIDED), capped)
     return F.when(terms.isNotNull(), each(holders, "unilateral_change.terms", level, evidence, capped=capped.isNotNull())).when(text_has(CHANGE_OBJECT), each(holders, "unilateral_change.price", level, evidence, capped=capped.isNotNull()))
 
 
 def payment() -> Column:
-    longest = numbers.extreme(TERMS, largest=True)
+    longest = numbers.extreme(TERMS(), largest=True)
     late = text_has(PAYMENT) & ~text_has(NOT_PAYMENT) & (longest["value"] >= 60)
     return F.when(
-        TYPE.isin("supply", "works"),
+        TYPE().isin("supply", "works"),
         F.when(text_has(PREPAID), one("payment.full_prepayment", F.lit(MEDIUM), F.array(parties.side(1)), marks(first(PREPAID))))
         .when(text_has(PAY_WHEN_PAID), one("payment.pay_when_paid", F.lit(HIGH), F.array(parties.side(0)), marks(first(PAY_WHEN_PAID))))
         .when(late, one("payment.deferral", F.when(longest["value"] >= 120, HIGH).otherwise(MEDIUM), F.array(parties.side(0)), marks(longest), days=longest["value"])),
@@ -254,10 +256,10 @@ def payment() -> Column:
 
 
 def acceptance() -> Column:
-    short = F.get(F.filter(TERMS, lambda d: d["value"] <= 3), F.lit(0))
+    short = F.get(F.filter(TERMS(), lambda d: d["value"] <= 3), F.lit(0))
     claims = text_has(CLAIMS) & ~text_has(HIDDEN_WARRANTY)
     return F.when(
-        TYPE.isin("supply", "works"),
+        TYPE().isin("supply", "works"),
         F.when(text_has(REFUSAL) & text_has(ARBITRARY), one("acceptance.arbitrary_refusal", F.lit(HIGH), F.array(parties.side(0)), marks(first(REFUSAL), first(ARBITRARY)))).when(
             short.isNotNull() & (text_has(SILENT) | claims), one("acceptance.short_deadline", F.lit(MEDIUM), F.array(parties.side(1)), marks(short, F.coalesce(first(SILENT), first(CLAIMS))), days=short["value"])
         ),
@@ -276,7 +278,7 @@ def held(df: DataFrame, **columns: Column) -> DataFrame:
 
 def analysed(clauses: DataFrame) -> DataFrame:
     """clauses (text, contract_type, lang) with what the rules share: mentions, percentages, durations, burden."""
-    a = held(clauses, mentions=parties.mentions(), percents=numbers.percents(TEXT), durations=numbers.durations(TEXT), mutual=parties.mutual())
+    a = held(clauses, mentions=parties.mentions(), percents=numbers.percents(TEXT()), durations=numbers.durations(TEXT()), mutual=parties.mutual())
     caps = numbers.of_kind(F.col("percents"), "cap")
     a = held(
         a,
@@ -284,10 +286,10 @@ def analysed(clauses: DataFrame) -> DataFrame:
         rate=numbers.extreme(numbers.of_kind(F.col("percents"), "daily"), True),
         fine=numbers.extreme(numbers.of_kind(F.col("percents"), "fine"), True),
         cap=numbers.extreme(caps, True),
-        capped=(F.size(caps) > 0) | (has(TEXT, numbers.PENALTY) & has(TEXT, numbers.CAP_WORDS)),
-        notices=numbers.notices(TEXT, DURATIONS),
-        terms=numbers.terms(TEXT, DURATIONS),
-        months=numbers.months_amount(TEXT, DURATIONS),
+        capped=(F.size(caps) > 0) | (has(TEXT(), numbers.PENALTY) & has(TEXT(), numbers.CAP_WORDS)),
+        notices=numbers.notices(TEXT(), DURATIONS()),
+        terms=numbers.terms(TEXT(), DURATIONS()),
+        months=numbers.months_amount(TEXT(), DURATIONS()),
     )
     return held(a, burden=parties.burden(F.col("payers"), F.col("mutual")))
 
@@ -295,7 +297,7 @@ def analysed(clauses: DataFrame) -> DataFrame:
 def hits(clauses: DataFrame, rules=RULES) -> DataFrame:
     """clauses with hits: an array over all rules, in the rules' order."""
     shared = analysed(clauses)
-    named = shared.select("*", *[F.coalesce(r(), NONE).alias(f"__{r.__name__}") for r in rules])
+    named = shared.select("*", *[F.coalesce(r(), NONE()).alias(f"__{r.__name__}") for r in rules])
     out = named.withColumn("hits", F.flatten(F.array(*[F.col(f"__{r.__name__}") for r in rules])))
     return out.select(*clauses.columns, "hits")
 

@@ -415,6 +415,7 @@ def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in PLAIN}
     out |= {"rule_" + r.replace(".", "_"): partial(rule, rule_id=r) for r in factory.WORDINGS}
+    out["html_report"] = html_report
     return out | {"knn_topk": partial(knn, same=False), "knn_filtered": partial(knn, same=True), "penalty_flagship": flagship}
 
 
