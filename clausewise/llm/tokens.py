@@ -40,7 +40,8 @@ from clausewise.llm.common import partitions, shared_dir
 
 MAGIC = b"BPK1"
 BLOCK_IDS = 1 << 16
-CACHE = 1_000_000
+CACHE = 450_000
+SIGNED = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
 PLAIN = re.compile(rb"([A-Za-z]+)([!-/:-@\[-`{-~]+)")
 
 
@@ -141,17 +142,22 @@ class Encoder:
             elif not w.isascii() and (s := w.decode("utf-8", "surrogatepass")).isalpha():
                 letters[w] = None
                 made.append((w, w, b""))
+            elif (m := SIGNED.fullmatch(w)) and m[1].decode("utf-8", "surrogatepass").isalpha():
+                letters[m[1]] = None
+                made.append((w, m[1], m[2]))
             else:
                 others.append(w)
         new = [w for w in letters if w not in known]
         for at in range(0, len(new), 512):
             part = new[at : at + 512]
             e = self.tokenizer.encode(" ".join(w.decode("utf-8", "surrogatepass") for w in part), add_special_tokens=False)
-            which = np.array([-1 if x is None else x for x in e.word_ids])
-            if len(which) and which[0] == 0 and which[-1] == len(part) - 1 and ((np.diff(which) == 0) | (np.diff(which) == 1)).all():
-                ids = np.array(e.ids, dtype="<u4")
-                for w, x in zip(part, np.split(ids, np.flatnonzero(np.diff(which)) + 1), strict=True):
-                    known[w] = x.tobytes()
+            which = e.word_ids
+            ends = [*[i for i, (x, y) in enumerate(zip(which, which[1:], strict=False), 1) if x != y], len(which)]
+            if None not in which and len(ends) == len(part):  # a piece is a word, as numbers of pieces only rise
+                ids, at_id = np.array(e.ids, dtype="<u4").tobytes(), 0
+                for w, end in zip(part, ends, strict=True):
+                    known[w] = ids[at_id : 4 * end]
+                    at_id = 4 * end
             else:  # a word has other pieces than its letters; each on its own
                 for w in part:
                     known[w] = self.alone(w.decode("utf-8", "surrogatepass"))
@@ -163,17 +169,17 @@ class Encoder:
             known[w] = self.alone(w.decode("utf-8", "surrogatepass"))
 
     def encode(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
-        if len(self.known) > CACHE:
-            self.known.clear()
         last, get = np.array([end], dtype="<u4").tobytes(), self.known.__getitem__
-        for t in texts:
-            ws = (t or "").encode("utf-8", "surrogatepass").split()
-            try:
-                got = b"".join(map(get, ws))
-            except KeyError:
-                self.learn([w for w in dict.fromkeys(ws) if w not in self.known])
-                got = b"".join(map(get, ws))
-            yield np.frombuffer(got + last, "<u4")
+        for at in range(0, len(texts), 64):
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[at : at + 64]]
+            # ASCII lowers here as the tokenizer does; a special token's letters are small, and another's are none
+            split = [(r.lower() if r.isascii() and b"<|" not in r else r).split() for r in raw]
+            if len(self.known) > CACHE:
+                self.known.clear()
+            if new := set().union(*[set(ws).difference(self.known) for ws in split]):
+                self.learn(sorted(new))
+            for ws in split:
+                yield np.frombuffer(b"".join(map(get, ws)) + last, "<u4")
 
 
 @lru_cache(2)
@@ -192,7 +198,7 @@ def quantiles(documents: DataFrame, bucket_docs: int) -> list[int]:
     return sorted(set(bounds or []))
 
 
-def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str, bucket_docs: int = 4000, file_ids: int = 8_000_000) -> list[tuple]:
+def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str, bucket_docs: int = 2000, file_ids: int = 2_000_000) -> list[tuple]:
     """Writes the documents' ids; returns (path, docs, ids) for each file, in order."""
     bounds = quantiles(documents, bucket_docs)
     spark = documents.sparkSession
