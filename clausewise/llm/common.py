@@ -25,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return conf or sc.getCheckpointDir()
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python workers so many rows at once at most: a worker and its executor hold a tenth of what Spark's default batch takes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -192,6 +192,16 @@ def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_
     return [*out, spark.sparkContext.broadcast(Automaton.of(own, window))] if own else out
 
 
+def matched(text: str | None, found: list) -> tuple[int, list[tuple[int, int]], set[str]]:
+    """A text's number of words, its hit spans and the items whose windows occur."""
+    ws = words(text)
+    spans, items = [], set()
+    for a in found:
+        s, i = a.value.scan(ws)
+        spans, items = united(spans + s) if spans else s, items | i
+    return len(ws), spans, items
+
+
 def scanner(found: list):
     """A column function: text to its digest and hit spans."""
 
@@ -201,14 +211,10 @@ def scanner(found: list):
         for texts in it:
             rows = []
             for t in texts:
-                ws = words(t)
-                spans, items = [], set()
-                for a in found:
-                    s, i = a.value.scan(ws)
-                    spans, items = united(spans + s) if spans else s, items | i
+                n, spans, items = matched(t, found)
                 hit = sum(b - a for a, b in spans)
                 sha = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest() if items else none
-                rows.append((len(ws), hit, len(items), sha, hit > 0, [{"start": a, "end": b} for a, b in spans]))
+                rows.append((n, hit, len(items), sha, hit > 0, [{"start": a, "end": b} for a, b in spans]))
             yield pd.DataFrame(rows, columns=NAMES)
 
     return scan
@@ -235,17 +241,23 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """documents without hit spans; a document of which more than `coverage` of the words are hit goes. n_chars, if there, follows the text."""
-    scan_ = scanner(automata(benchmark, window))
+    found = automata(benchmark, window)
 
-    @F.pandas_udf("string")
-    def rest(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, spans in it:
-            yield pd.Series([without(t, [(s["start"], s["end"]) for s in ss]) if len(ss) else t for t, ss in zip(texts, spans, strict=True)], dtype=object)
+    @F.pandas_udf("keep boolean, text string")
+    def cleaned(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """One pass over a text: whether it stays, and its rest where passages go (else null)."""
+        for texts in it:
+            keep, rest = [], []
+            for t in texts:
+                n, spans, _ = matched(t, found)
+                keep.append(sum(b - a for a, b in spans) <= coverage * n)
+                rest.append(without(t, spans) if spans and keep[-1] else None)
+            yield pd.DataFrame({"keep": keep, "text": pd.Series(rest, dtype=object)})
 
     own = [c for c in documents.columns if c not in NAMES]
-    found = documents.select("*", scan_("text").alias("__scan")).where(f"not (__scan.n_hit > {coverage} * __scan.n_words)")
-    found = found.withColumn("__text", rest("text", "__scan.hit_spans"))
-    return found.select(*[F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in own])
+    once = cleaned.asNondeterministic()  # else the filter below is moved under the projection, and every text is scanned twice
+    left = documents.select("*", once("text").alias("__clean")).where("__clean.keep").withColumn("__text", F.coalesce("__clean.text", "text"))
+    return left.select(*[F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in own])
 
 
 ORACLE = """

@@ -188,15 +188,13 @@ def mix(documents: DataFrame, shards: int = 64, weights=WEIGHTS, budget: float =
     each = drawn.select("__row", "size", "__h", F.posexplode("pieces").alias("epoch", "own")).where("size(own) > 0")
 
     @F.pandas_udf("string")
-    def text(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, sizes, pieces in it:
-            out = []
-            for t, n, ps in zip(texts, sizes, pieces, strict=True):
-                ranges = merged((p["lo"], p["hi"]) for p in ps)
-                out.append(t if ranges == [(0, n)] else cut_words(t, ranges))
-            yield pd.Series(out, dtype=object)
-
-    each = each.withColumn("__text", text(F.col("__row.text"), "size", "own"))
+    def text(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, pieces in it:
+            yield pd.Series([None if t is None else cut_words(t, merged((p["lo"], p["hi"]) for p in ps)) for t, ps in zip(texts, pieces, strict=True)], dtype=object)
+
+    # only the few texts that the end of a draw cuts go to Python
+    whole = F.expr("aggregate(own, 0L, (n, x) -> n + x.hi - x.lo) = size")
+    each = each.withColumn("__text", F.when(whole, F.col("__row.text")).otherwise(text(F.when(~whole, F.col("__row.text")), F.when(~whole, F.col("own")))))
     result = each.select(*[F.col("__text").alias(c) if c == "text" else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col("__row").getField(c).alias(c) for c in own], F.expr("own[0].shard").alias("mix_shard"), F.xxhash64("__h", "epoch").alias("mix_order"))
     return result.repartition(min(shards, max(1, 2 * partitions(documents.sparkSession))), "mix_shard").sortWithinPartitions("mix_shard", "mix_order")
 
