@@ -138,10 +138,14 @@ def piece(epoch: int, block: int) -> str:
     return f"named_struct('lo', greatest(at, k * {block}L) - at, 'hi', greatest(least(at + size, {end}), greatest(at, k * {block}L)) - at, 'shard', size(filter(ends, e -> e <= {epoch} * blocks + {p})))"
 
 
-def laid_out(documents: DataFrame, shards: int, weights, budget: float, most: float, block: int, keep: list[str]) -> DataFrame:
-    """Documents (columns `keep`) with size, their source's plan, and pieces: an array for each of two epochs."""
+def laid_out(documents: DataFrame, shards: int, weights, budget: float, most: float, block: int, keep: list[str], held: bool) -> DataFrame:
+    """Documents (columns `keep`) with size, their source's plan, and pieces: an array for each of two epochs.
+
+    held: the rows are checkpointed. Rows that carry texts are not: counting their words again costs less than a copy of all texts.
+    """
     spark = documents.sparkSession
-    rows = cut(documents.select(*keep, F.col("source").alias("__s"), words().alias("size")))
+    rows = documents.select(*keep, F.col("source").alias("__s"), words().alias("size"))
+    rows = cut(rows) if held else rows
     sizes = {r["__s"]: int(r["n"]) for r in rows.groupBy("__s").agg(F.sum("size").alias("n")).collect()}
     table = F.broadcast(spark.createDataFrame(plan(sizes, shards, weights, budget, most, block), PLAN))  # a row for each source
     own = rows.join(table.withColumnRenamed("__s", "__t"), F.col("__s").eqNullSafe(F.col("__t"))).drop("__t").withColumn("__h", F.xxhash64("doc_id", F.lit(97)))
@@ -157,7 +161,7 @@ def laid_out(documents: DataFrame, shards: int, weights, budget: float, most: fl
 def quotas(documents: DataFrame, shards: int = 64, weights=WEIGHTS, budget: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
     """(doc_id, size, source_size, target, taken): what the mix takes of each document."""
     taken = "aggregate(flatten(pieces), 0L, (n, x) -> n + x.hi - x.lo)"
-    return laid_out(documents, shards, weights, budget, most, block, ["doc_id"]).select("doc_id", "size", "source_size", "target", F.expr(taken).alias("taken"))
+    return laid_out(documents, shards, weights, budget, most, block, ["doc_id"], held=True).select("doc_id", "size", "source_size", "target", F.expr(taken).alias("taken"))
 
 
 def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -184,7 +188,7 @@ def mix(documents: DataFrame, shards: int = 64, weights=WEIGHTS, budget: float =
     own = [c for c in documents.columns if c not in ("mix_shard", "mix_order")]
     named = documents.select(*[F.col(f"`{c}`").alias(c) for c in own])
     keyed = named.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in own]))
-    drawn = laid_out(keyed, shards, weights, budget, most, block, ["doc_id", "__row"])
+    drawn = laid_out(keyed, shards, weights, budget, most, block, ["doc_id", "__row"], held=False)
     each = drawn.select("__row", "size", "__h", F.posexplode("pieces").alias("epoch", "own")).where("size(own) > 0")
 
     @F.pandas_udf("string")
