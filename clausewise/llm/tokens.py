@@ -10,12 +10,13 @@ files hold documents in ascending doc_id order. A file:
 Every id takes the fewest bits that hold the largest id of the vocabulary; a block starts at a byte,
 so a block is unpacked alone (numpy) and any document is found through `ends` and the block offsets.
 
-Words part at ASCII white space, at which this tokenizer's pieces part too; a word's ids are looked up
-once and remembered by the worker (`CACHE` words, then anew), new words go to the library many at a
-time. Documents are dealt to buckets by quantiles of doc_id, each bucket sorted on its own; a bucket is
-one file or, past `file_ids` ids, several, so a doc_id that very many rows share is no larger task in
-memory. A file is written under a name of its own and moved to a name that its bucket determines, so a
-task that runs twice leaves one file.
+Words part at ASCII white space and before the signs that end them, at which this tokenizer's pieces
+part too; a word's ids are looked up once in `SLICE` characters of text and remembered by the worker
+(`CACHE` words, then anew), new words go to the library many at a time. Documents are dealt to
+buckets by quantiles of doc_id, each bucket sorted on its own; a bucket is one file or, past `file_ids`
+ids, several, so a doc_id that very many rows share is no larger task in memory. A file is written
+under a name of its own and moved to a name that its bucket determines, so a task that runs twice
+leaves one file.
 
 Defined results: null reads as empty (its ids are the end id alone); null doc_ids come first; rows of
 one doc_id are in order of their ids; an empty table has no files and no rows.
@@ -24,7 +25,6 @@ one doc_id are in order of their ids; an empty table has no files and no rows.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,16 +33,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import partitions, shared_dir
+from clausewise.llm.common import partitions, shared_dir, slices
 
 MAGIC = b"BPK1"
 BLOCK_IDS = 1 << 16
-CACHE = 450_000
-SIGNED = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
-PLAIN = re.compile(rb"([A-Za-z]+)([!-/:-@\[-`{-~]+)")
+CACHE = 300_000
+SLICE = 2_000_000
+#: Signs that end a word after a letter: a piece of their own.
+TAIL = r"([A-Za-z])([!-/:-@\[-`{-~]+)([\t-\r ]|$)"
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -120,66 +122,65 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     @property
     def bits(self) -> int:
         return max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
-    def alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def library(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def learn(self, words: list[bytes]) -> None:
-        """The ids of words not yet known. A word of letters is one piece, as are the signs after it."""
-        known, letters, made, others = self.known, {}, [], []
+    def learn(self, words: list[str]) -> None:
+        """The ids of words not yet known. A word of letters is one piece: ASCII ones go to the library's model, others are encoded many as one text."""
+        letters, others, pieces = [], [], self.tokenizer.model.tokenize
         for w in words:
-            if w.isalpha():  # ASCII letters
-                letters[low := w.lower()] = None
-                made.append((w, low, b""))
-            elif m := PLAIN.fullmatch(w):
-                letters[low := m[1].lower()] = None
-                made.append((w, low, m[2]))
-            elif not w.isascii() and (s := w.decode("utf-8", "surrogatepass")).isalpha():
-                letters[w] = None
-                made.append((w, w, b""))
-            elif (m := SIGNED.fullmatch(w)) and m[1].decode("utf-8", "surrogatepass").isalpha():
-                letters[m[1]] = None
-                made.append((w, m[1], m[2]))
-            else:
+            if not w.isalpha():
                 others.append(w)
-        new = [w for w in letters if w not in known]
-        for at in range(0, len(new), 512):
-            part = new[at : at + 512]
-            e = self.tokenizer.encode(" ".join(w.decode("utf-8", "surrogatepass") for w in part), add_special_tokens=False)
-            which = e.word_ids
-            ends = [*[i for i, (x, y) in enumerate(zip(which, which[1:], strict=False), 1) if x != y], len(which)]
-            if None not in which and len(ends) == len(part):  # a piece is a word, as numbers of pieces only rise
-                ids, at_id = np.array(e.ids, dtype="<u4").tobytes(), 0
-                for w, end in zip(part, ends, strict=True):
-                    known[w] = ids[at_id : 4 * end]
-                    at_id = 4 * end
+            elif w.isascii():
+                self.known[w] = np.array([x.id for x in pieces(w.lower())], dtype="<u4").tobytes()
+            else:
+                letters.append(w)
+        for at in range(0, len(letters), 512):
+            part = letters[at : at + 512]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)  # the batch call keeps no word numbers
+            which = np.array([-1 if x is None else x for x in e.word_ids], dtype=np.int64)
+            ends = [*(4 * (np.flatnonzero(np.diff(which)) + 1)).tolist(), 4 * len(which)]
+            if len(ends) == len(part) and which.min(initial=0) >= 0:  # a piece is a word, as numbers of pieces only rise
+                ids = np.array(e.ids, dtype="<u4").tobytes()
+                self.known.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=True))
             else:  # a word has other pieces than its letters; each on its own
-                for w in part:
-                    known[w] = self.alone(w.decode("utf-8", "surrogatepass"))
-        for w, low, signs in made:
-            if signs and signs not in known:
-                known[signs] = self.alone(signs.decode())
-            known[w] = known[low] + (known[signs] if signs else b"")
-        for w in others:
-            known[w] = self.alone(w.decode("utf-8", "surrogatepass"))
+                others += part
+        for w, e in zip(others, self.library(others), strict=True):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
-        last, get = np.array([end], dtype="<u4").tobytes(), self.known.__getitem__
-        for at in range(0, len(texts), 64):
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[at : at + 64]]
-            # ASCII lowers here as the tokenizer does; a special token's letters are small, and another's are none
-            split = [(r.lower() if r.isascii() and b"<|" not in r else r).split() for r in raw]
-            if len(self.known) > CACHE:
-                self.known.clear()
-            if new := set().union(*[set(ws).difference(self.known) for ws in split]):
-                self.learn(sorted(new))
-            for ws in split:
-                yield np.frombuffer(b"".join(map(get, ws)) + last, "<u4")
+        for part in slices(texts, SLICE):
+            yield from self.slice(part, np.array([end], dtype="<u4"))
+
+    def slice(self, texts: list[str], last: np.ndarray) -> Iterator[np.ndarray]:
+        """A slice's distinct words are looked up once; numpy lays their ids out for all places of the words."""
+        special = {i for i, t in enumerate(texts) if "<|" in t}  # such a text goes to the library whole
+        held = pa.array(["" if i in special else t for i, t in enumerate(texts)], pa.large_string())
+        # ASCII lowers here as the tokenizer does
+        held = pc.if_else(pc.string_is_ascii(held), pc.ascii_lower(held), held)
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(held, TAIL, r"\1 \2\3"))
+        coded = words.flatten().dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > CACHE:
+            self.known = {"": b""}
+        self.learn([w for w in own if w not in self.known])
+        ids = [self.known[w] for w in own]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        per = lengths[place]
+        until = np.concatenate([[0], np.cumsum(per)])
+        first = (np.cumsum(lengths) - lengths)[place] - until[:-1]
+        ids = flat[np.repeat(first, per) + np.arange(until[-1])]
+        ends = until[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            yield np.concatenate([np.array(self.library([texts[i]])[0].ids, dtype="<u4") if i in special else ids[a:b], last])
 
 
 @lru_cache(2)
