@@ -144,16 +144,18 @@ def laid_out(documents: DataFrame, shards: int, weights, budget: float, most: fl
     held: the rows are checkpointed. Rows that carry texts are not: counting their words again costs less than a copy of all texts.
     """
     spark = documents.sparkSession
-    rows = documents.select(*keep, F.col("source").alias("__s"), words().alias("size"))
+    rows = documents.select(*keep, F.col("source").alias("__s"), F.coalesce("source", F.lit("")).alias("__k"), F.col("source").isNull().alias("__u"), words().alias("size"))
     rows = cut(rows) if held else rows
     sizes = {r["__s"]: int(r["n"]) for r in rows.groupBy("__s").agg(F.sum("size").alias("n")).collect()}
     table = F.broadcast(spark.createDataFrame(plan(sizes, shards, weights, budget, most, block), PLAN))  # a row for each source
     own = rows.join(table.withColumnRenamed("__s", "__t"), F.col("__s").eqNullSafe(F.col("__t"))).drop("__t").withColumn("__h", F.xxhash64("doc_id", F.lit(97)))
     own = own.withColumn("__part", F.pmod(F.shiftright("__h", 7), F.col("parts")))
-    sums = own.groupBy("__s", "__part").agg(F.sum("size").alias("n"))
-    before = sums.select(F.col("__s").alias("__t"), F.col("__part").alias("__q"), F.coalesce(F.sum("n").over(Window.partitionBy("__s").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    running = F.coalesce(F.sum("size").over(Window.partitionBy("__s", "__part").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = own.withColumn("__run", running).join(before, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__part") == F.col("__q"))).withColumn("at", F.col("__run") + F.col("__before"))
+    # windows and join share one partitioning (source without its null, so a plain equality), so texts are shuffled once
+    key = ["__k", "__u", "__part"]
+    sums = own.groupBy(*key).agg(F.sum("size").alias("n"))
+    before = sums.select(*key, F.coalesce(F.sum("n").over(Window.partitionBy("__k", "__u").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    running = F.coalesce(F.sum("size").over(Window.partitionBy(*key).orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = own.withColumn("__run", running).join(before, key).withColumn("at", F.col("__run") + F.col("__before"))
     some = f"if(size = 0, cast(array() as array<long>), sequence(at div {block}, (at + size - 1) div {block}))"
     return at.withColumn("pieces", F.array(*[F.expr(f"filter(transform({some}, k -> {piece(e, block)}), x -> x.hi > x.lo)") for e in (0, 1)]))
 
