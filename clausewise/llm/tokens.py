@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import partitions, shared_dir, slices
+from clausewise.llm.common import partitions, shared_dir, slices, text_batches
 
 MAGIC = b"BPK1"
 BLOCK_IDS = 1 << 16
@@ -203,6 +203,7 @@ def write(documents: DataFrame, tokenizer: str, end_id: int, folder: str, bucket
     """Writes the documents' ids; returns (path, docs, ids) for each file, in order."""
     bounds = quantiles(documents, bucket_docs)
     spark = documents.sparkSession
+    text_batches(spark)
     bits = encoder(tokenizer).bits
 
     @F.pandas_udf("binary")
