@@ -208,21 +208,31 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3) -> Da
     return rows.join(own, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(documents: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+def representatives(documents: DataFrame, words: int = 3, radius: int = 3, similar: float | None = None) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest doc_id (then of the other columns).
 
     Rows of one fingerprint are first brought down to one (partial minima, so a hot group is a few rows
-    to a task); only ids and fingerprints take part in the linking.
+    to a task); only ids and fingerprints take part in the linking. With `similar`, texts whose five-word
+    shingles have that similarity are linked as well (`similar.joined`), and both links form the groups.
     """
+    from clausewise.llm import similar as shingles
+
     own = documents.columns
     rest = [c for c in own if c not in ("doc_id", "text")]
     spark = documents.sparkSession
     at = f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
-    documents.select("*", fingerprints(words).alias("__fp")).write.parquet(at)
+    keyed = [] if similar is None else [shingles.keys().alias("__key")]
+    documents.select("*", fingerprints(words).alias("__fp"), *keyed).write.parquet(at)
     marked = spark.read.parquet(at)
     least = marked.groupBy("__fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *[F.col(f"`{c}`") for c in rest], "text")).alias("row"))
     points = marked.groupBy("__fp").agg(F.min("doc_id").alias("first"))
     joined = groups(points.select(F.col("__fp").alias("fp")), radius)
+    if similar is not None:
+        joined = cut(joined)
+        root = F.coalesce("root", "fp")
+        labels = cut(marked.select(F.col("__key").alias("key"), F.col("__fp").alias("fp")).distinct().join(joined, "fp", "left").select("key", root.alias("label")))
+        more = shingles.joined(marked.select(F.col("__key").alias("key"), "text"), labels, least=similar).select(F.col("node").alias("label"), F.col("root").alias("top"))
+        joined = points.select(F.col("__fp").alias("fp")).join(joined, "fp", "left").select("fp", root.alias("label")).join(more, "label", "left").select("fp", F.coalesce("top", "label").alias("root"))
     named = joined.join(points, F.col("fp") == F.col("__fp")).select("fp", "root", "first")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("best"))
     losers = named.join(best, "root").where("fp <> best.fp").select(F.col("fp").alias("__fp"))

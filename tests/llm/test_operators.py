@@ -177,6 +177,44 @@ def test_simhash_query(spark, odd, sf_dir):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_pipeline_keeps_one_of_similar_texts(spark, sf_dir):
+    """Whole groups by three bits of the fingerprint or a similarity of 0.8 of five-word shingles, against brute force."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    texts = [r[0] for r in duckdb.sql(f"select text from '{sf_dir}/documents.parquet' order by doc_id limit 60").fetchall()]
+    for _ in range(12):
+        w = [f"w{x}" for x in rng.integers(0, 400, 150)]
+        texts.append(" ".join(w))
+        for _ in range(6):  # chains, so that some are similar only by way of others
+            for k in rng.integers(0, len(w), int(rng.integers(1, 8))):
+                w[k] = f"z{rng.integers(0, 10**6)}"
+            texts.append(" ".join(w))
+    texts += ["", "   ", "a b", "A  b", "one two three four five", "one two three four six"]
+
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, fps = [shingles(t) for t in texts], [plain_fingerprint(t) for t in texts]
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3
+    like = lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0
+
+    def kept(link):
+        label = list(range(len(texts)))
+        while True:
+            new = [min(label[j] for j in range(len(texts)) if i == j or link(i, j)) for i in range(len(texts))]
+            if new == label:
+                return sorted(set(label))
+            label = new
+
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = kept(lambda i, j: near(i, j) or like(i, j))
+    assert len(want) < len(kept(near))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, sf_dir).collect()) == want
+    assert corpus_pipeline.distinct(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_sharding(spark, odd, sf_dir):
     for docs, n in ((spark.read.parquet(f"{sf_dir}/documents.parquet"), 200), (odd, 8), (odd.limit(0), 0)):
         got = sharding.digest(docs).toPandas()
