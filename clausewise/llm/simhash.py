@@ -221,7 +221,7 @@ def representatives(documents: DataFrame, words: int = 3, radius: int = 3, simil
     rest = [c for c in own if c not in ("doc_id", "text")]
     spark = documents.sparkSession
     at = f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
-    keyed = [] if similar is None else [shingles.keys().alias("__key")]
+    keyed = [] if similar is None else [shingles.signs().alias("__signs")]
     documents.select("*", fingerprints(words).alias("__fp"), *keyed).write.parquet(at)
     marked = spark.read.parquet(at)
     least = marked.groupBy("__fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *[F.col(f"`{c}`") for c in rest], "text")).alias("row"))
@@ -230,8 +230,9 @@ def representatives(documents: DataFrame, words: int = 3, radius: int = 3, simil
     if similar is not None:
         joined = cut(joined)
         root = F.coalesce("root", "fp")
-        labels = cut(marked.select(F.col("__key").alias("key"), F.col("__fp").alias("fp")).distinct().join(joined, "fp", "left").select("key", root.alias("label")))
-        more = shingles.joined(marked.select(F.col("__key").alias("key"), "text"), labels, least=similar).select(F.col("node").alias("label"), F.col("root").alias("top"))
+        each = marked.groupBy(F.col("__signs.key").alias("key")).agg(F.min("__signs.size").alias("size"), F.min("__signs.bits").alias("bits"), F.min("__fp").alias("fp"))
+        labels = cut(each.join(joined, "fp", "left").select("key", "size", "bits", root.alias("label")))
+        more = shingles.joined(marked.select("__signs.key", "text"), labels, least=similar).select(F.col("node").alias("label"), F.col("root").alias("top"))
         joined = points.select(F.col("__fp").alias("fp")).join(joined, "fp", "left").select("fp", root.alias("label")).join(more, "label", "left").select("fp", F.coalesce("top", "label").alias("root"))
     named = joined.join(points, F.col("fp") == F.col("__fp")).select("fp", "root", "first")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("best"))
