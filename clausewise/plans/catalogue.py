@@ -343,14 +343,34 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 SWEEP_SQL = f"WITH t AS (SELECT (n_chars % 997) / 1000.0 AS t, sum(quality) AS pos, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1), r AS (SELECT t, sum(pos) OVER (ORDER BY t DESC) AS tp, sum(n) OVER (ORDER BY t DESC) AS n, sum(pos) OVER () AS a FROM t), m AS (SELECT t, {PRF_SQL} FROM (SELECT t, tp, n - tp AS fp, a - tp AS fn FROM r)) SELECT round(CAST(t AS DOUBLE), 6) AS threshold, round(f1, 6) AS f1, round(precision, 6) AS precision, round(recall, 6) AS recall FROM m WHERE precision >= 0.5 ORDER BY m.f1 DESC, t LIMIT 1"
 
 
+def drawn(r: str, j: str, n: str) -> str:
+    """SQL of both engines for the document that place j of resample r draws, with replacement: squares of a remainder, so each draw is alike but not in step with another."""
+    square = f"(({r} * 104729 + {j} * 7919 + 13) % 2147483647)"
+    for add in (f"{r} * 48271", f"{j} * 69621", f"{r} * 16807"):
+        square = f"(({square} * {square} + {add} + 40692) % 2147483647)"
+    return f"({square} % {n})"
+
+
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = measures.outcomes(*gold_and_predicted(spark, sf_dir), ["doc_id"])
+    """1000 resamples of the labelled documents, those without any finding among them."""
+    found = measures.outcomes(*gold_and_predicted(spark, sf_dir), ["doc_id"])
+    counts = table(spark, sf_dir, "labels").select("doc_id").distinct().join(found, "doc_id", "left").na.fill(0, ["tp", "fp", "fn"])
     pos = counts.withColumn("pos", F.row_number().over(Window.orderBy("doc_id")).cast("long") - 1).select("pos", "tp", "fp", "fn")
-    n = pos.count()
-    draws = spark.range(200 * n).select((F.col("id") / n).cast("long").alias("resample"), F.pmod(F.col("id") * 7919 + F.floor(F.col("id") / n) * 104729, F.lit(n)).alias("pos"))
+    n = counts.count()
+    draws = spark.range(1000 * n).selectExpr(f"id div {max(n, 1)} AS resample", f"id % {max(n, 1)} AS j").selectExpr("resample", f"{drawn('resample', 'j', str(max(n, 1)))} AS pos")
     return measures.interval(pos, draws)
 
 
+BOOTSTRAP_SQL = (
+    f"WITH c AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM (SELECT DISTINCT doc_id FROM labels) LEFT JOIN ({OUTCOME_SQL}) USING (doc_id)), "
+    f"d AS (SELECT r, {drawn('r', 'j', 'n')} AS pos FROM (SELECT r, pos AS j, (SELECT count(*) FROM c) AS n FROM range(1000) t(r), c)), "
+    "s AS (SELECT r, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM d JOIN c USING (pos) GROUP BY r), "
+    "m AS (SELECT tp / nullif(CAST(tp + fp AS DOUBLE), 0) AS precision, tp / nullif(CAST(tp + fn AS DOUBLE), 0) AS recall FROM s), "
+    "f AS (SELECT *, CASE WHEN precision > 0 AND recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m) "
+    "SELECT " + ", ".join(f"round_even(quantile_cont({m}, {q}), 4) AS {m}_{name}" for m in ("precision", "recall", "f1") for q, name in ((0.025, "low"), (0.975, "high"))) + " FROM f"
+)
+
+
 def latest_run_per_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
@@ -432,7 +452,7 @@ def oracle_sql() -> dict[str, str]:
         "percent_spans": PERCENT_SQL, "duration_days": DURATION_SQL, "party_payers": PAYERS_SQL, "segment_contracts": SEGMENT_SQL, "doc_force_majeure_missing": FM_SQL, "doc_liability_one_sided": ONE_SIDED_SQL, "report_order": ORDER_SQL,
         "normalize_lines": NORMALIZE_SQL, "letter_share_language": SHARE_SQL, "type_scores": TYPE_SQL, "page_offsets": PAGE_SQL, "clause_page": CLAUSE_PAGE_SQL, "repeated_lines": REPEATED_SQL, "wording_signature": SIGNATURE_SQL,
         "cache_hit_miss": CACHE_SQL, "json_recover": JSON_SQL, "shingle_jaccard": JACCARD_SQL, "exact_leak": LEAK_SQL, "knn_topk": knn_sql(False), "knn_filtered": knn_sql(True), "coverage_gap": GAP_SQL, "balance_table": BALANCE_SQL,
-        "prf_detection": prf_sql, "prf_slices": slices_sql(), "clean_false_alarms": ALARM_SQL, "threshold_sweep": SWEEP_SQL, "latest_run_per_model": LATEST_SQL, "highlight_merge": HIGHLIGHT_SQL, "corpus_hash": HASH_SQL,
+        "prf_detection": prf_sql, "prf_slices": slices_sql(), "clean_false_alarms": ALARM_SQL, "threshold_sweep": SWEEP_SQL, "bootstrap_ci": BOOTSTRAP_SQL, "latest_run_per_model": LATEST_SQL, "highlight_merge": HIGHLIGHT_SQL, "corpus_hash": HASH_SQL,
         "extraction_compare": COMPARE_SQL, "cost_per_100": COST_SQL, "latency_quantiles": LATENCY_SQL, "penalty_flagship": FLAGSHIP_SQL,
         **{"rule_" + r.replace(".", "_"): factory.expected_sql(r) for r in factory.WORDINGS},
     }

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from clausewise.functions import numbers, text
 from clausewise.operators import extraction, measures, retrieval, rules, segment
+from clausewise.plans import catalogue
 from clausewise.sources import files
 
 EXAMPLES = [
@@ -55,6 +58,27 @@ def test_measures(spark):
     assert none["precision"] is None and none["recall"] == 0 and none["f1"] == 0
 
 
+def test_bootstrap(spark, sf_dir):
+    """Bounds as by SQL, near those of the reference's formula on NumPy's draws, and apart."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    got = catalogue.bootstrap_ci(spark, sf_dir).first().asDict()
+    with duckdb.connect() as db:
+        for t in ("documents", "labels"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        want = db.sql(catalogue.oracle_sql()["bootstrap_ci"])
+        assert got == pytest.approx(dict(zip(want.columns, want.fetchall()[0], strict=True)))
+        counts = np.array(db.sql(f"SELECT coalesce(tp, 0), coalesce(fp, 0), coalesce(fn, 0) FROM labels LEFT JOIN ({catalogue.OUTCOME_SQL}) USING (doc_id) ORDER BY doc_id").fetchall())
+    tp, fp, fn = counts[measures.resamples(len(counts))].sum(axis=1).T
+    for name, of in (("precision", tp + fp), ("recall", tp + fn)):
+        low, high = np.quantile(tp[of > 0] / of[of > 0], [0.025, 0.975])
+        assert got[f"{name}_low"] == pytest.approx(low, abs=0.03) and got[f"{name}_high"] == pytest.approx(high, abs=0.03)
+    assert 0 < got["recall_low"] < got["recall_high"] and 0 < got["f1_low"] < got["f1_high"]
+    frame = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(counts)], "pos long, tp int, fp int, fn int")
+    draws = spark.createDataFrame([(r, int(i)) for r, row in enumerate(measures.resamples(len(counts), 50)) for i in row], "resample long, pos long")
+    tp, fp, fn = counts[measures.resamples(len(counts), 50)].sum(axis=1).T
+    assert measures.interval(frame, draws).first()["precision_low"] == pytest.approx(np.quantile(tp / (tp + fp), 0.025), abs=6e-5)
+
+
 def test_similar_texts_and_json(spark):
     a = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "nothing alike")], "id int, text string")
     assert [tuple(r)[:2] for r in retrieval.similar_texts(a, a.selectExpr("id + 10 as id", "text")).collect()] in ([(1, 11), (2, 12)], [(2, 12), (1, 11)])
