@@ -46,6 +46,29 @@ def percent_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 PERCENT_SQL = f"SELECT n, p, count(*) AS lines, CAST('0.' || p AS DOUBLE) AS rate, 36 AS rate_start, CAST(n AS DOUBLE) AS cap, 0 AS fines FROM (SELECT {factory.PARAMETERS_SQL} FROM lineitem) WHERE k % 5 = 1 GROUP BY n, p"
 
 
+PERCENT_WORDINGS = [*factory.WORDINGS["penalty.daily_rate"], factory.WORDINGS["penalty.fine"][0], factory.WORDINGS["penalty.fine"][2]]
+
+
+def percent_spans_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all three kinds in every line's clause: uncapped and capped rates, both languages, fines."""
+    made = factory.worded(factory.lines(spark, sf_dir).withColumn("v", F.pmod("k", F.lit(len(PERCENT_WORDINGS)))), PERCENT_WORDINGS)
+    s = made.select("v", "n", "p", numbers.percents(F.col("text")).alias("s"))
+    of = lambda k: numbers.of_kind(F.col("s"), k)
+    at = lambda k, f: F.get(of(k), F.lit(0))[f]
+    found = s.select("v", "n", "p", at("daily", "value").alias("rate"), at("daily", "start").cast("long").alias("rate_start"), at("cap", "value").alias("cap"), at("fine", "value").alias("fine"), at("fine", "start").cast("long").alias("fine_start"), F.size(of("fine")).cast("long").alias("fines"))
+    return found.groupBy(*found.columns).agg(F.count("*").alias("lines"))
+
+
+def percent_all_sql() -> str:
+    start = [w[0].replace("0,{p}", "{n}", 1).index("{n}") for w in PERCENT_WORDINGS]
+    places = " ".join(f"WHEN {v} THEN {x}" for v, x in enumerate(start))
+    return (
+        "SELECT v, n, p, CASE WHEN v < 2 THEN CAST('0.' || p AS DOUBLE) WHEN v < 5 THEN CAST(n AS DOUBLE) END AS rate, CASE WHEN v < 5 THEN x END AS rate_start, CASE WHEN v = 1 THEN CAST(n AS DOUBLE) END AS cap, "
+        "CASE WHEN v >= 5 THEN CAST(n AS DOUBLE) END AS fine, CASE WHEN v >= 5 THEN x END AS fine_start, CASE WHEN v >= 5 THEN 1 ELSE 0 END AS fines, count(*) AS lines "
+        f"FROM (SELECT n, p, k % {len(start)} AS v, CASE k % {len(start)} {places} END AS x FROM (SELECT {factory.PARAMETERS_SQL} FROM lineitem)) GROUP BY v, n, p, x"
+    )
+
+
 def duration_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = factory.lines(spark, sf_dir).groupBy("n", "p").agg(F.count("*").alias("lines"))
     t = F.concat(F.lit("Срок — "), F.col("n").cast("string"), F.lit(" (прописью) календарных дней, уведомление за "), F.col("p").cast("string"), F.lit(" часов, отсрочка три месяца."))
@@ -440,7 +463,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 PLAIN = (
-    percent_spans, duration_days, party_payers, segment_contracts, doc_force_majeure_missing, doc_liability_one_sided, report_order, normalize_lines, letter_share_language, type_scores, page_offsets, clause_page, repeated_lines,
+    percent_spans, percent_spans_all, duration_days, party_payers, segment_contracts, doc_force_majeure_missing, doc_liability_one_sided, report_order, normalize_lines, letter_share_language, type_scores, page_offsets, clause_page, repeated_lines,
     wording_signature, pii_redaction_counts, cache_hit_miss, json_recover, shingle_jaccard, exact_leak, coverage_gap, balance_table, prf_detection, prf_slices, clean_false_alarms, threshold_sweep, bootstrap_ci, latest_run_per_model,
     highlight_merge, corpus_hash, extraction_compare, cost_per_100, latency_quantiles,
 )
@@ -449,7 +472,7 @@ PLAIN = (
 def oracle_sql() -> dict[str, str]:
     prf_sql = f"SELECT tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM (SELECT *, {PRF_SQL} FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM ({OUTCOME_SQL})))"
     return {
-        "percent_spans": PERCENT_SQL, "duration_days": DURATION_SQL, "party_payers": PAYERS_SQL, "segment_contracts": SEGMENT_SQL, "doc_force_majeure_missing": FM_SQL, "doc_liability_one_sided": ONE_SIDED_SQL, "report_order": ORDER_SQL,
+        "percent_spans": PERCENT_SQL, "percent_spans_all": percent_all_sql(), "duration_days": DURATION_SQL, "party_payers": PAYERS_SQL, "segment_contracts": SEGMENT_SQL, "doc_force_majeure_missing": FM_SQL, "doc_liability_one_sided": ONE_SIDED_SQL, "report_order": ORDER_SQL,
         "normalize_lines": NORMALIZE_SQL, "letter_share_language": SHARE_SQL, "type_scores": TYPE_SQL, "page_offsets": PAGE_SQL, "clause_page": CLAUSE_PAGE_SQL, "repeated_lines": REPEATED_SQL, "wording_signature": SIGNATURE_SQL,
         "cache_hit_miss": CACHE_SQL, "json_recover": JSON_SQL, "shingle_jaccard": JACCARD_SQL, "exact_leak": LEAK_SQL, "knn_topk": knn_sql(False), "knn_filtered": knn_sql(True), "coverage_gap": GAP_SQL, "balance_table": BALANCE_SQL,
         "prf_detection": prf_sql, "prf_slices": slices_sql(), "clean_false_alarms": ALARM_SQL, "threshold_sweep": SWEEP_SQL, "bootstrap_ci": BOOTSTRAP_SQL, "latest_run_per_model": LATEST_SQL, "highlight_merge": HIGHLIGHT_SQL, "corpus_hash": HASH_SQL,

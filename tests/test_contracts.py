@@ -58,6 +58,23 @@ def test_measures(spark):
     assert none["precision"] is None and none["recall"] == 0 and none["f1"] == 0
 
 
+def against_sql(spark, sf_dir, name):
+    got = catalogue.queries()[name](spark, sf_dir)
+    with duckdb.connect() as db:
+        for t in ("conversations", "documents", "lineitem"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        want = db.sql(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    return rows
+
+
+def test_percent_spans_of_all_wordings(spark, sf_dir):
+    rows = against_sql(spark, sf_dir, "percent_spans_all")
+    assert {r[0] for r in rows} == set(range(7)) and sum(r[-2] for r in rows) > 0
+    assert sum(r[-1] for r in rows) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
+
 def test_bootstrap(spark, sf_dir):
     """Bounds as by SQL, near those of the reference's formula on NumPy's draws, and apart."""
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
