@@ -98,7 +98,7 @@ def atoms(page: str, odds: dict[str, float]) -> Iterator[tuple[str, str, Element
         if not inline:
             block += 1
         if name in RAW:
-            if not closing:
+            if not closing and not (name in ("svg", "math") and attributes.endswith("/")):  # self-closed, they hold nothing
                 end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue

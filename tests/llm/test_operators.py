@@ -281,6 +281,10 @@ def test_html():
     page = '<body><div class="menu"><a>A</a><a>B</a></div><div class="content"><h1>Hi</h1><p>A text that goes on for a while.</p><p>And on.</p></div><div class="cookie-notice">We use cookies</div></body>'
     assert html.extract(page) == "Hi A text that goes on for a while. And on."
 
+    for tag in ("svg", "math"):
+        assert html.extract(f"<article><p>One <{tag} class='i'/> two</p><p>three</p></article>") == "One two three"
+        assert html.extract(f"<article><p>One <{tag}><title>no</title></{tag}> two</p></article>") == "One two"
+
 
 def test_decontamination_against_sql(spark):
     sf = "/root/testdata/sf0.001"
