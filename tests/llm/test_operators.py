@@ -362,3 +362,6 @@ def test_search_against_brute_force(spark, odd, sf_dir):
     assert got == sorted(want)
     assert {r["query_id"] for r in bm25.search(odd, odd).collect()} == {None, 3, 4, 5}
     assert bm25.search(odd.limit(0), odd.limit(0)).count() == 0
+    two = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta")], "doc_id long, text string")
+    asked = spark.createDataFrame([(9, "alpha"), (9, "gamma"), (9, "gamma")], "doc_id long, text string")
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in bm25.search(two, asked).collect()) == [(9, 1, 1), (9, 1, 2)]
