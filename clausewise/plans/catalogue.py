@@ -28,9 +28,15 @@ RULE_OF = {
 def rule(spark: SparkSession, sf_dir: str, rule_id: str) -> DataFrame:
     fn = BY_NAME[RULE_OF.get(rule_id) or RULE_OF[rule_id.split(".")[0]]]
     made = factory.clauses(spark, sf_dir, rule_id)
-    each = rules.hits(made, (fn,)).select("v", "lines", "party_role", F.explode("hits").alias("h"))
+    each = rules.hits(made, (fn,)).select("v", "n", "p", "party_role", F.explode("hits").alias("h"))
     mine = each.where((F.col("h.rule_id") == rule_id) & F.array_contains("h.against", F.col("party_role")))
-    return mine.groupBy("v", F.col("h.level").alias("level")).agg(F.count("*").alias("clauses"), F.sum("lines").alias("lines"))
+    lines = mine.groupBy("v", "n", "p", F.col("h.level").alias("level")).agg(F.count("*").alias("lines"))
+    return lines.groupBy("v", "level").agg(F.count("*").alias("clauses"), F.sum("lines").alias("lines"))
+
+
+def counted(each: DataFrame, at: int) -> DataFrame:
+    """Distinct rows with how many lines have them, in place `at`."""
+    return each.groupBy(*each.columns).agg(F.count("*").alias("lines")).select(*each.columns[:at], "lines", *each.columns[at:])
 
 
 # --- numbers, spans, parties -------------------------------------------------
@@ -38,9 +44,9 @@ def rule(spark: SparkSession, sf_dir: str, rule_id: str) -> DataFrame:
 
 def percent_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = factory.clauses(spark, sf_dir, "penalty.daily_rate").where("v = 1")
-    s = made.select("n", "p", "lines", numbers.percents(F.col("text")).alias("s"))
+    s = made.select("n", "p", numbers.percents(F.col("text")).alias("s"))
     at = lambda k: F.get(numbers.of_kind(F.col("s"), k), F.lit(0))
-    return s.select("n", "p", "lines", at("daily")["value"].alias("rate"), at("daily")["start"].cast("long").alias("rate_start"), at("cap")["value"].alias("cap"), F.size(numbers.of_kind(F.col("s"), "fine")).cast("long").alias("fines"))
+    return counted(s.select("n", "p", at("daily")["value"].alias("rate"), at("daily")["start"].cast("long").alias("rate_start"), at("cap")["value"].alias("cap"), F.size(numbers.of_kind(F.col("s"), "fine")).cast("long").alias("fines")), 2)
 
 
 PERCENT_SQL = f"SELECT n, p, count(*) AS lines, CAST('0.' || p AS DOUBLE) AS rate, 36 AS rate_start, CAST(n AS DOUBLE) AS cap, 0 AS fines FROM (SELECT {factory.PARAMETERS_SQL} FROM lineitem) WHERE k % 5 = 1 GROUP BY n, p"
@@ -70,11 +76,12 @@ def percent_all_sql() -> str:
 
 
 def duration_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = factory.lines(spark, sf_dir).groupBy("n", "p").agg(F.count("*").alias("lines"))
+    made = factory.lines(spark, sf_dir)
     t = F.concat(F.lit("Срок — "), F.col("n").cast("string"), F.lit(" (прописью) календарных дней, уведомление за "), F.col("p").cast("string"), F.lit(" часов, отсрочка три месяца."))
     d = made.withColumn("text", t).withColumn("d", numbers.durations(F.col("text")))
     v = lambda i: F.get(F.col("d"), F.lit(i))["value"]
-    return d.select("n", "p", "lines", F.size("d").cast("long").alias("found"), v(0).alias("days"), F.round(v(1), 6).alias("hours_as_days"), v(2).alias("months_as_days"), F.size(numbers.notices(F.col("text"), F.col("d"))).cast("long").alias("notices"))
+    each = d.select("n", "p", F.size("d").cast("long").alias("found"), v(0).alias("days"), F.round(v(1), 6).alias("hours_as_days"), v(2).alias("months_as_days"), F.size(numbers.notices(F.col("text"), F.col("d"))).cast("long").alias("notices"))
+    return counted(each, 2)
 
 
 DURATION_SQL = f"SELECT n, p, count(*) AS lines, 3 AS found, CAST(n AS DOUBLE) AS days, round(p / 24.0, 6) AS hours_as_days, CAST(90 AS DOUBLE) AS months_as_days, 1 AS notices FROM (SELECT {factory.PARAMETERS_SQL} FROM lineitem) GROUP BY n, p"
@@ -82,10 +89,10 @@ DURATION_SQL = f"SELECT n, p, count(*) AS lines, 3 AS found, CAST(n AS DOUBLE) A
 
 def party_payers(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = ["Арендатор уплачивает Арендодателю сумму", "Арендодатель вправе взыскать с Арендатора сумму", "сумма, уплачиваемая Арендодателем за задержку", "Арендодатель направляет уведомление", "от Генерального арендатора получена сумма"]
-    made = factory.lines(spark, sf_dir).groupBy(F.pmod("k", F.lit(len(forms))).alias("v"), "n").agg(F.count("*").alias("lines"))
+    made = factory.lines(spark, sf_dir).select(F.pmod("k", F.lit(len(forms))).alias("v"), "n")
     t = F.concat(F.get(F.array(*map(F.lit, forms)), F.col("v")), F.lit(" "), F.col("n").cast("string"), F.lit("."))
     c = made.select("*", t.alias("text"), F.lit("lease").alias("contract_type"), F.lit("ru").alias("lang")).withColumn("mentions", parties.mentions())
-    return c.select("v", "n", "lines", F.size("mentions").cast("long").alias("mentions"), F.array_join(F.array_sort(parties.payers()), ",").alias("payers"))
+    return counted(c.select("v", "n", F.size("mentions").cast("long").alias("mentions"), F.array_join(F.array_sort(parties.payers()), ",").alias("payers")), 2)
 
 
 PAYERS_SQL = f"SELECT v, n, count(*) AS lines, CASE v WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS mentions, CASE v WHEN 0 THEN 'tenant' WHEN 1 THEN 'tenant' WHEN 2 THEN 'landlord' WHEN 3 THEN 'landlord' ELSE '' END AS payers FROM (SELECT k % 5 AS v, n FROM (SELECT {factory.PARAMETERS_SQL} FROM lineitem)) GROUP BY v, n"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clausewise.functions import numbers, text
 from clausewise.operators import extraction, measures, retrieval, rules, segment
-from clausewise.plans import catalogue
+from clausewise.plans import catalogue, factory
 from clausewise.sources import files
 
 EXAMPLES = [
@@ -75,6 +75,12 @@ def test_percent_spans_of_all_wordings(spark, sf_dir):
     assert sum(r[-1] for r in rows) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
 
 
+def test_a_clause_for_each_line(spark, sf_dir):
+    assert factory.clauses(spark, sf_dir, "penalty.fine").count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    for name in ("percent_spans", "duration_days", "party_payers", "rule_penalty_daily_rate"):
+        against_sql(spark, sf_dir, name)
+
+
 def test_bootstrap(spark, sf_dir):
     """Bounds as by SQL, near those of the reference's formula on NumPy's draws, and apart."""
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
