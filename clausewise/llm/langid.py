@@ -7,7 +7,8 @@ training rows sets the temperature of the softmax and the score below which an a
 
 Since average and softmax are linear, prediction folds both into one table of a row per hash.
 
-Bounds: `rows` training rows at most, reduced to hash counts on the executors (never more than the
+Bounds: `rows` training rows, dealt evenly to the languages but `LEAST` to each at least (so rows or
+`LEAST` times the languages, whichever is more), of distinct doc_ids, so that a rare language is learned; reduced to hash counts on the executors (never more than the
 number of hashes per row). Every text is read whole.
 
 Defined results: a null text or one without a letter gives `und` with score 0 and is rejected;
@@ -22,13 +23,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import fold, slices, smallest, with_result
+from clausewise.llm.common import fold, slices, with_result
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
+#: Training rows of a language, where it has them.
+LEAST = 50
 #: Characters whose arrays are held at once in prediction: few, so that they stay in the processor's cache.
 PREDICT_CHARS = 100_000
 NAMES = ("lang_pred", "score", "rejected")
@@ -156,7 +159,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: list[str], epochs: int =
 
 def fit(documents: DataFrame, usable: Column, rows: int = 2000) -> LanguageModel | None:
     """usable: which rows may be learned from."""
-    keys = smallest(documents.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang"), "doc_id", rows).dropDuplicates(["doc_id"])
+    known = documents.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
+    each = max(LEAST, rows // max(1, len(n)))
+    part = F.coalesce(*[F.when(F.col("lang") == v, F.lit(min(1.0, 2 * each / c))) for v, c in sorted(n.items())], F.lit(0.0))
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part * (1 << 30))  # about twice as many, before they are put in order
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id"))
+    keys = some.withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang")
 
     @F.pandas_udf("ids binary, counts binary")
     def reduced(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -77,6 +77,17 @@ def test_language_edges(spark, odd):
     assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    words = {"en": "the house and the dog are here", "de": "das haus und der hund sind hier", "xx": "zyq vuk qox wuz kyx"}
+    docs = spark.createDataFrame([(i, words["xx" if i % 1500 == 7 else "en" if i % 2 else "de"], "xx" if i % 1500 == 7 else "en" if i % 2 else "de") for i in range(6000)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), rows=100)
+    assert model.languages == ("de", "en", "xx")
+    again = langid.fit(docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(3000)).drop("id")), F.lit(True), rows=100)
+    assert again.languages == ("de", "en", "xx")
+
+
 def test_classifiers_at_the_edges(spark, odd):
     good, bad = [b"the clause is clear and plain" * 30] * 20, [b"$$$ %%% !!! ###" * 30] * 20
     model = quality.QualityModel(quality.dictionary(good, 4096), quality.dictionary(bad, 4096), (1.0,) * 9)
