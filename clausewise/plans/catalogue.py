@@ -234,18 +234,19 @@ def wording_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIGNATURE_SQL = r"SELECT md5(trim(regexp_replace(lower(regexp_replace(text, '\d+([.,]\d+)?', '#', 'g')), '\s+', ' ', 'g'), ' ')) AS signature, count(*) AS n FROM conversations GROUP BY 1"
 
 
-# --- masks, quotes, cache, JSON ----------------------------------------------
+def wording_signature_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.md5(text.signature(F.col("text"))).alias("signature")).agg(F.count("*").alias("n"))
 
 
-def pii_redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, n = extraction.redacted(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("masked"), F.length(t).cast("long").alias("chars"))
+# --- masks, cache, JSON ----------------------------------------------
 
 
-def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")).withColumn("b", F.lit(1))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("b", F.lit(1))
-    return docs.join(F.broadcast(quotes.limit(200)), "b").where(extraction.grounded(F.col("quote"), F.col("text"))).groupBy("item_id").agg(F.count("*").alias("documents"))
+def pii_redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (turn is null) and conversations."""
+    t, n = extraction.redacted(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), "doc_id", F.lit(None).cast("long").alias("turn"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("origin"), F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("turn"), "text")
+    return docs.unionByName(turns).select("origin", "doc_id", "turn", n.cast("long").alias("masked"), F.length(t).cast("long").alias("chars"))
 
 
 def cache_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,7 +472,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 PLAIN = (
     percent_spans, percent_spans_all, duration_days, party_payers, segment_contracts, doc_force_majeure_missing, doc_liability_one_sided, report_order, normalize_lines, letter_share_language, type_scores, page_offsets, clause_page, repeated_lines,
-    wording_signature, pii_redaction_counts, cache_hit_miss, json_recover, shingle_jaccard, exact_leak, coverage_gap, balance_table, prf_detection, prf_slices, clean_false_alarms, threshold_sweep, bootstrap_ci, latest_run_per_model,
+    wording_signature, wording_signature_documents, pii_redaction_counts, cache_hit_miss, json_recover, shingle_jaccard, exact_leak, coverage_gap, balance_table, prf_detection, prf_slices, clean_false_alarms, threshold_sweep, bootstrap_ci, latest_run_per_model,
     highlight_merge, corpus_hash, extraction_compare, cost_per_100, latency_quantiles,
 )
 
@@ -480,7 +481,7 @@ def oracle_sql() -> dict[str, str]:
     prf_sql = f"SELECT tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM (SELECT *, {PRF_SQL} FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM ({OUTCOME_SQL})))"
     return {
         "percent_spans": PERCENT_SQL, "percent_spans_all": percent_all_sql(), "duration_days": DURATION_SQL, "party_payers": PAYERS_SQL, "segment_contracts": SEGMENT_SQL, "doc_force_majeure_missing": FM_SQL, "doc_liability_one_sided": ONE_SIDED_SQL, "report_order": ORDER_SQL,
-        "normalize_lines": NORMALIZE_SQL, "letter_share_language": SHARE_SQL, "type_scores": TYPE_SQL, "page_offsets": PAGE_SQL, "clause_page": CLAUSE_PAGE_SQL, "repeated_lines": REPEATED_SQL, "wording_signature": SIGNATURE_SQL,
+        "normalize_lines": NORMALIZE_SQL, "letter_share_language": SHARE_SQL, "type_scores": TYPE_SQL, "page_offsets": PAGE_SQL, "clause_page": CLAUSE_PAGE_SQL, "repeated_lines": REPEATED_SQL, "wording_signature": SIGNATURE_SQL, "wording_signature_documents": SIGNATURE_SQL.replace("FROM conversations", "FROM documents"),
         "cache_hit_miss": CACHE_SQL, "json_recover": JSON_SQL, "shingle_jaccard": JACCARD_SQL, "exact_leak": LEAK_SQL, "knn_topk": knn_sql(False), "knn_filtered": knn_sql(True), "coverage_gap": GAP_SQL, "balance_table": BALANCE_SQL,
         "prf_detection": prf_sql, "prf_slices": slices_sql(), "clean_false_alarms": ALARM_SQL, "threshold_sweep": SWEEP_SQL, "bootstrap_ci": BOOTSTRAP_SQL, "latest_run_per_model": LATEST_SQL, "highlight_merge": HIGHLIGHT_SQL, "corpus_hash": HASH_SQL,
         "extraction_compare": COMPARE_SQL, "cost_per_100": COST_SQL, "latency_quantiles": LATENCY_SQL, "penalty_flagship": FLAGSHIP_SQL,

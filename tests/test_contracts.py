@@ -81,6 +81,14 @@ def test_a_clause_for_each_line(spark, sf_dir):
         against_sql(spark, sf_dir, name)
 
 
+def test_masks_and_signatures_of_whole_tables(spark, sf_dir):
+    rows = against_sql(spark, sf_dir, "wording_signature_documents")
+    docs, turns = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "conversations"))
+    assert sum(r[1] for r in rows) == docs
+    masked = catalogue.pii_redaction_counts(spark, sf_dir).groupBy("origin").count()
+    assert {r["origin"]: r["count"] for r in masked.collect()} == {"documents": docs, "conversations": turns}
+
+
 def test_bootstrap(spark, sf_dir):
     """Bounds as by SQL, near those of the reference's formula on NumPy's draws, and apart."""
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
