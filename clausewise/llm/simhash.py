@@ -8,20 +8,26 @@ Hamming space into shards: at a node with vantage v and limit m, points with d(v
 those with d(v, x) > m - radius go right. By the triangle inequality two points within the radius
 that part at a node meet on its right, since d(v, x) >= d(v, y) - radius > m - radius; so every pair
 meets in a shard, and only points near a boundary are copied. Inside a shard the same tree, built on
-the shard's points, prunes down to leaves, where all pairs are compared. A shard hands on a spanning
-star of each of its local components, never its pairs; `components` joins the shards.
+the shard's points, prunes down to leaves, where points that agree in one of radius + 1 ranges of bits
+are compared (two within the radius must). A shard hands on a spanning star of each of its local
+components, never its pairs; `components` joins the shards.
 
-Bounds: `sample` points on the driver for the tree, whatever the input. A shard holds distinct
-fingerprints only; a region that no tree can split lies within a few bits of one point, and so is
-small by counting (43,745 fingerprints within three bits of one), however many documents are there.
+Bounds: the driver's tree is built on `sample` points and has about `REGIONS` regions at most; where
+these hold more than a shard, each gets a tree of its own, built on an executor from `sample` of its
+points. Copies of a point grow with the depth of the trees, so a shard takes up to `MOST` points before
+more shards are made. A shard holds distinct fingerprints only; a region that no tree can split lies
+within a few bits of one point, and so is small by counting (43,745 fingerprints within three bits of
+one), however many documents are there.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; fewer words
 than a shingle give one shingle; a null doc_id takes part but never names a component (null if no
-other id is there); repeated rows stay; other columns pass through.
+other id is there); repeated rows stay. `near_duplicates` returns its three columns alone;
+`representatives` returns the columns of its input, whatever their names and types.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,10 +38,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import cut, shared_dir, slices
+from clausewise.llm.common import col, cut, partitions, shared_dir, slices
 from clausewise.llm.components import components
 
-LEAF = 2048
+LEAF = 16_384
+REGIONS = 256
+#: Points of a shard: at least, and at most if the cluster has so many tasks anyway.
+LEAST, MOST = 50_000, 400_000
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -106,20 +115,18 @@ class Tree:
 
 def split(points: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[int, int] | None:
     """A vantage and a limit that part these points well for the copies they cost; None if nothing parts them."""
-    best, found = 1e9, None
     n = len(points)
+    best, found = 0.9, None
     for vantage in rng.choice(points, min(6, n), replace=False):
-        below = np.cumsum(np.bincount(distance(points, vantage), minlength=65))
-        for limit in range(64):
-            left, right = below[limit], n - (below[limit - radius] if limit >= radius else 0)
-            if not 0 < left < n or right >= n:
-                continue
-            p = left / n
-            gain = -(p * np.log(p) + (1 - p) * np.log(1 - p))
-            cost = np.log((left + right) / n) / gain
-            if 0.3 <= p <= 0.7 and cost < best:
-                best, found = cost, (int(vantage), limit)
-    return found if best < 0.9 else None
+        below = np.cumsum(np.bincount(distance(points, vantage), minlength=65))[:64]
+        right = n - np.concatenate([np.zeros(min(radius, 64), dtype=np.int64), below])[:64]
+        p = np.clip(below / n, 1e-9, 1 - 1e-9)
+        cost = np.log((below + right) / n) / -(p * np.log(p) + (1 - p) * np.log(1 - p))
+        cost[(p < 0.3) | (p > 0.7) | (right >= n)] = 1e9
+        limit = int(np.argmin(cost))
+        if cost[limit] < best:
+            best, found = cost[limit], (int(vantage), limit)
+    return found
 
 
 def build(points: np.ndarray, radius: int, most: float, seed: int = 11) -> Tree:
@@ -145,51 +152,94 @@ def build(points: np.ndarray, radius: int, most: float, seed: int = 11) -> Tree:
     return Tree(nodes, leaves, radius)
 
 
-def find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def close(points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within the radius, some of them more than once: such a pair agrees in one of radius + 1 ranges of bits."""
+    ranges = min(radius + 1, 64)
+    for k in range(ranges):
+        low, high = 64 * k // ranges, 64 * (k + 1) // ranges
+        key = (points >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        order = np.argsort(key, kind="stable")
+        key, own, at = key[order], points[order], np.arange(len(points))
+        for step in range(1, len(points)):
+            at = at[: np.searchsorted(at, len(points) - step)]
+            at = at[key[at] == key[at + step]]
+            if not len(at):
+                break
+            near = at[np.bitwise_count(own[at] ^ own[at + step]) <= radius]
+            yield order[near], order[near + step]
+
+
+def roots(parent: np.ndarray) -> np.ndarray:
+    while not np.array_equal(up := parent[parent], parent):
+        parent = up
+    return parent
 
 
 def stars(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Of distinct points, those with a link in reach and the smallest point they are joined to here."""
-    parent = np.arange(len(points))
+    root = np.arange(len(points))
     for _, idx in build(points, radius, LEAF, seed=3).route(points):
-        own = points[idx]
-        for at in range(0, len(own), 512):
-            near = np.bitwise_count(own[at : at + 512, None] ^ own[None, at:]) <= radius
-            a, b = np.nonzero(near)
-            for i, j in zip((a[b > a] + at).tolist(), (b[b > a] + at).tolist(), strict=True):
-                x, y = find(parent, idx[i]), find(parent, idx[j])
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-    root = np.array([find(parent, i) for i in range(len(points))], dtype=np.int64)
+        for a, b in close(points[idx], radius):
+            a, b = root[idx[a]], root[idx[b]]
+            while len(a := a[(apart := a != b)]):  # each round hands every root the smallest it meets
+                b = b[apart]
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                root = roots(root)
+                a, b = root[a], root[b]
     joined = np.nonzero(root != np.arange(len(points)))[0]
     return points[joined], points[root[joined]]
 
 
-def links(points: DataFrame, radius: int = 3, shard: int = 50_000, sample: int = 8192) -> DataFrame:
+def routed(trees: dict[int, Tree], *columns: str) -> Column:
+    """The shards of a point: (region, fp) columns, or fp alone where there is but one tree, that of region 0."""
+
+    @F.pandas_udf("array<long>")
+    def shards(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in it:
+            batch = batch if isinstance(batch, tuple) else (batch,)
+            fps = batch[-1].to_numpy(dtype="<i8").view("<u8")
+            region = batch[0].to_numpy() if len(batch) > 1 else np.zeros(len(fps), dtype=np.int64)
+            own: list[list[int]] = [[] for _ in range(len(fps))]
+            for r in np.unique(region).tolist():
+                places = np.flatnonzero(region == r)
+                if r not in trees:
+                    for i in places.tolist():
+                        own[i].append(r << 32)
+                    continue
+                for leaf, idx in trees[r].route(fps[places]):
+                    for i in places[idx].tolist():
+                        own[i].append((r << 32) + leaf)
+            yield pd.Series(own)
+
+    return shards(*columns)
+
+
+def links(points: DataFrame, radius: int = 3, shard: int | None = None, sample: int = 8192, regions: int = REGIONS) -> DataFrame:
     """points: distinct fingerprints (fp). Returns (u, v): links that span every component of the full graph of links."""
     spark = points.sparkSession
     n = points.count()
+    shard = shard or min(MOST, max(LEAST, n // (4 * partitions(spark))))
     some = np.array([r["fp"] for r in points.select("fp").orderBy(F.hash("fp"), "fp").limit(sample).collect()], dtype="<i8").view("<u8")
-    tree = spark.sparkContext.broadcast(build(some, radius, max(8.0, len(some) * shard / max(n, 1))))  # no more nodes than the sample has points
+    tree = build(some, radius, max(8.0, len(some) * max(shard, n / regions) / max(n, 1)))  # no more nodes than the sample has points
+    placed = points.select("fp", F.explode(routed({0: tree}, "fp")).alias("shard"))
+    if n > shard * regions:  # each region that holds more than a shard gets a tree of its own
+        placed = cut(placed)
+        sizes = placed.groupBy("shard").count().where(F.col("count") > 2 * shard)
+        chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.lit(float(sample << 20)) / F.col("count")
 
-    @F.pandas_udf("array<int>")
-    def shards(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for fps in it:
-            own: list[list[int]] = [[] for _ in range(len(fps))]
-            for leaf, idx in tree.value.route(fps.to_numpy(dtype="<i8").view("<u8")):
-                for i in idx:
-                    own[i].append(leaf)
-            yield pd.Series(own)
+        def built(pdf: pd.DataFrame) -> pd.DataFrame:
+            own = np.sort(pdf["fp"].to_numpy(dtype="<i8").view("<u8"))
+            tree = build(own, radius, max(8.0, len(own) * shard / pdf["count"].iloc[0]))
+            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "tree": [pickle.dumps(tree)]})
+
+        trees = placed.join(F.broadcast(sizes), "shard").where(chosen).groupBy("shard").applyInPandas(built, "shard long, tree binary").collect()  # a row for each region
+        placed = placed.select("fp", F.explode(routed({r["shard"]: pickle.loads(r["tree"]) for r in trees}, "shard", "fp")).alias("shard"))
 
     def spanned(pdf: pd.DataFrame) -> pd.DataFrame:
         u, v = stars(np.sort(pdf["fp"].to_numpy(dtype="<i8").view("<u8")), radius)
         return pd.DataFrame({"u": u.view("<i8"), "v": v.view("<i8")})
 
-    return points.select("fp", F.explode(shards("fp")).alias("shard")).groupBy("shard").applyInPandas(spanned, "u long, v long")
+    return placed.groupBy("shard").applyInPandas(spanned, "u long, v long")
 
 
 def groups(fps: DataFrame, radius: int = 3) -> DataFrame:
@@ -211,33 +261,34 @@ def near_duplicates(documents: DataFrame, words: int = 3, radius: int = 3) -> Da
 def representatives(documents: DataFrame, words: int = 3, radius: int = 3, similar: float | None = None) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest doc_id (then of the other columns).
 
-    Rows of one fingerprint are first brought down to one (partial minima, so a hot group is a few rows
-    to a task); only ids and fingerprints take part in the linking. With `similar`, texts whose five-word
+    Rows of one fingerprint are first brought down to one (partial minima of ids, so a hot group is a few
+    rows to a task); only ids and fingerprints take part in the linking. With `similar`, texts whose five-word
     shingles have that similarity are linked as well (`similar.joined`), and both links form the groups.
     """
     from clausewise.llm import similar as shingles
 
     own = documents.columns
-    rest = [c for c in own if c not in ("doc_id", "text")]
     spark = documents.sparkSession
-    at = f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
-    keyed = [] if similar is None else [shingles.signs().alias("__signs")]
-    documents.select("*", fingerprints(words).alias("__fp"), *keyed).write.parquet(at)
-    marked = spark.read.parquet(at)
-    least = marked.groupBy("__fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *[F.col(f"`{c}`") for c in rest], "text")).alias("row"))
-    points = marked.groupBy("__fp").agg(F.min("doc_id").alias("first"))
-    joined = groups(points.select(F.col("__fp").alias("fp")), radius)
+    folder = f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+    keyed = [] if similar is None else [shingles.signs().alias("signs")]
+    plain = [col(c).cast("string") if "map<" in kind or "variant" in kind else col(c) for c, kind in documents.dtypes]  # these have no hash
+    rows = documents.select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(own)]).alias("d"), "doc_id", "text", F.xxhash64(*plain).alias("content"), F.monotonically_increasing_id().alias("row"))
+    rows.select("d", "doc_id", "content", "row", fingerprints(words).alias("fp"), *keyed).write.parquet(folder)
+    marked = spark.read.parquet(folder)
+    text = F.col(f"d.c{own.index('text')}").alias("text")
+    # of each fingerprint the first document: ids, a hash of all columns and a row number, so no text is compared and a hot group is a few rows to a task
+    first = cut(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "row")).alias("first")))
+    joined = groups(first.select("fp"), radius)
     if similar is not None:
         joined = cut(joined)
         root = F.coalesce("root", "fp")
-        each = marked.groupBy(F.col("__signs.key").alias("key")).agg(F.min("__signs.size").alias("size"), F.min("__signs.bits").alias("bits"), F.min("__fp").alias("fp"))
+        each = marked.groupBy(F.col("signs.key").alias("key")).agg(F.min("signs.size").alias("size"), F.min("signs.bits").alias("bits"), F.min("fp").alias("fp"))
         labels = cut(each.join(joined, "fp", "left").select("key", "size", "bits", root.alias("label")))
-        more = shingles.joined(marked.select("__signs.key", "text"), labels, least=similar).select(F.col("node").alias("label"), F.col("root").alias("top"))
-        joined = points.select(F.col("__fp").alias("fp")).join(joined, "fp", "left").select("fp", root.alias("label")).join(more, "label", "left").select("fp", F.coalesce("top", "label").alias("root"))
-    named = joined.join(points, F.col("fp") == F.col("__fp")).select("fp", "root", "first")
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("best"))
-    losers = named.join(best, "root").where("fp <> best.fp").select(F.col("fp").alias("__fp"))
-    return least.join(losers, "__fp", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in own])
+        more = shingles.joined(marked.select("signs.key", text), labels, least=similar).select(F.col("node").alias("label"), F.col("root").alias("top"))
+        joined = first.select("fp").join(joined, "fp", "left").select("fp", root.alias("label")).join(more, "label", "left").select("fp", F.coalesce("top", "label").alias("root"))
+    best = first.join(joined, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("best"))
+    kept = marked.select("d", "row").join(best.select(F.col("best.row").alias("row")), "row", "left_semi")
+    return kept.select(*[F.col(f"d.c{i}").alias(c) for i, c in enumerate(own)])
 
 
 __all__ = ["fingerprint", "fingerprints", "groups", "links", "near_duplicates", "representatives"]

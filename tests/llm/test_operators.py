@@ -188,6 +188,39 @@ def test_simhash_query(spark, odd, sf_dir):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_regions_get_trees_of_their_own(spark):
+    """Two levels of trees find what comparing all pairs finds, and copies of a point stay few."""
+    rng = np.random.default_rng(5)
+    points = set(rng.integers(0, 2**63, 3000).tolist())
+    for base in rng.integers(0, 2**63, 25).tolist():
+        for _ in range(40):
+            x = base
+            for k in rng.integers(0, 63, rng.integers(0, 6)).tolist():
+                x ^= 1 << k
+            points.add(x)
+    p = np.array(sorted(points), dtype="<u8")
+    near = [(i, j + i + 1) for i in range(len(p)) for j in np.flatnonzero(np.bitwise_count(p[i + 1 :] ^ p[i]) <= 3).tolist()]
+    up = list(range(len(p)))
+    for _ in range(30):
+        for i, j in near:
+            up[i] = up[j] = min(up[i], up[j])
+    want = {int(p[i]): int(p[up[i]]) for pair in near for i in pair}
+    df = spark.createDataFrame([(int(x),) for x in p], "fp long")
+    for shard, regions in ((100, 4), (300, 256)):
+        got = {r["node"]: r["root"] for r in components(simhash.links(df, 3, shard, 1000, regions)).collect()}
+        assert got == want
+
+
+def test_representatives_keep_any_columns(spark, odd):
+    """A map, a name with a backtick and names that the operator uses itself."""
+    rows = [(1, "a b c d e f g", {"k": 1}, 7, "x"), (1, "a b c d e f g", {"k": 1}, 7, "x"), (None, "a b c d e f g", None, 8, "y"), (2, "", {}, 9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, `od``d` int, row string")
+    got = simhash.representatives(df, similar=0.8)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"], r["od`d"], r["row"]) for r in got.collect()) == [(1, 7, "x"), (2, 9, None)]
+    assert simhash.representatives(df.limit(0), similar=0.8).count() == 0
+
+
 def test_pipeline_keeps_one_of_similar_texts(spark, sf_dir):
     """Whole groups by three bits of the fingerprint or a similarity of 0.8 of five-word shingles, against brute force."""
     import corpus_pipeline
