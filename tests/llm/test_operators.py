@@ -307,6 +307,52 @@ def test_mixing(spark, odd, sf_dir):
     assert taken == sum(r["taken"] for r in mixing.quotas(odd).collect())
 
 
+def test_mixing_is_drawn_by_its_tree(spark, monkeypatch):
+    """Word by word: the shards' runs of permuted blocks, as long as the tree's quotas, disjoint, and nothing else."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), "en", s, 0, None, None) for i, s in enumerate(["a"] * 90 + ["b"] * 25 + [None] * 12)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    shards, block = 5, 16
+    laid = mixing.laid_out(docs, shards, mixing.WEIGHTS, 1.5, 2.0, block, ["doc_id"], held=True).toPandas()
+    got = {r["doc_id"]: r for r in mixing.quotas(docs, shards, block=block).collect()}
+    for key, own in laid.groupby("__s", dropna=False):
+        n, blocks, ends = int(own.source_size.iloc[0]), int(own.blocks.iloc[0]), list(own.ends.iloc[0])
+        grid = spark.createDataFrame([(k, blocks, int(own.wide.iloc[0]), int(own.deep.iloc[0]), list(own.salts.iloc[0])) for k in range(blocks)], "k long, blocks long, wide long, deep long, salts array<long>")
+        places = [[r["p"] for r in grid.selectExpr(mixing.place("k", f"salts[{e}]") + " as p", "k").orderBy("k").collect()] for e in (0, 1)]
+        assert all(sorted(p) == list(range(blocks)) and (blocks < 4 or p != list(range(blocks))) for p in places)
+        draws, rest, took = int(own.draws.iloc[0]), int(own.rest.iloc[0]), Counter()
+        for _, d in own.iterrows():
+            for w in range(int(d["at"]), int(d["at"] + d["size"])):
+                for e in (0, 1):
+                    at = e * blocks + places[e][w // block]
+                    if at < draws and not (rest and at == draws - 1 and w % block >= rest):
+                        took[d.doc_id, next(j for j in range(shards) if at < ends[j])] += 1
+        for i in own.doc_id:
+            assert {x["shard"]: x["words"] for x in got[i]["shards"]} == {s: n for (d, s), n in took.items() if d == i}
+            assert got[i]["taken"] == sum(n for (d, _), n in took.items() if d == i) <= 2 * got[i]["size"]
+        assert sum(took.values()) == round(own.target.iloc[0]), (key, n)
+        assert ends[-1] == draws
+    mixed = mixing.mix(docs, shards, block=block).toPandas()
+    words = mixed.assign(n=[len(t.split()) for t in mixed.text]).groupby("mix_shard").n.sum().to_dict()
+    want = Counter()
+    for r in got.values():
+        for x in r["shards"]:
+            want[x["shard"]] += x["words"]
+    assert words == dict(want)
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed=17: np.zeros((shards, len(quotas)), dtype=np.int64))
+    assert sum(r["taken"] for r in mixing.quotas(docs, shards, block=block).collect()) == 0
+
+
+def test_hypergeometric_law():
+    """Mean and variance of small and of very large draws."""
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((5, 7, 6), (300, 100, 50), (3 * 10**9, 10**10, 10**9)):
+        got = np.array([mixing.drawn(rng, good, bad, n) for _ in range(300 if good > 10**6 else 3000)], dtype=float)
+        p, total = good / (good + bad), good + bad
+        sd = math.sqrt(n * p * (1 - p) * (total - n) / (total - 1))
+        assert abs(got.mean() - n * p) < 5 * sd / math.sqrt(len(got)) and 0.8 < got.std() / sd < 1.2
+
+
 def test_splitting_tree():
     quotas = [1000, 10, 0, 555]
     got = mixing.split_quotas(quotas, 7)
