@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clausewise.dims import TYPE_OF, lookup
 from clausewise.functions import numbers, text
 from clausewise.operators import extraction, findings, measures, parties, retrieval, rules, segment
-from clausewise.plans import factory, shapes
+from clausewise.plans import factory, learning, shapes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -472,7 +472,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: Modules with queries of their own: name -> (query, its SQL or None).
-MODULES = (shapes,)
+MODULES = (shapes, learning)
 
 PLAIN = (
     percent_spans, percent_spans_all, duration_days, party_payers, segment_contracts, doc_force_majeure_missing, doc_liability_one_sided, report_order, normalize_lines, letter_share_language, type_scores, page_offsets, clause_page, repeated_lines,
