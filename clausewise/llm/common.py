@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -39,6 +40,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of rows that were written to be read again; whoever has written the result may clear them.
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder."""
+    _scratch.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch folders. DataFrames that read them are of no use then."""
+    while _scratch:
+        drop(spark, _scratch.pop())
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files and checkpoints of finished steps now, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,6 @@ other id is there); repeated rows stay. `near_duplicates` returns its three colu
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import col, cut, partitions, shared_dir, slices
+from clausewise.llm.common import col, cut, partitions, scratch, slices, tidy
 from clausewise.llm.components import components
 
 LEAF = 16_384
@@ -269,7 +268,7 @@ def representatives(documents: DataFrame, words: int = 3, radius: int = 3, simil
 
     own = documents.columns
     spark = documents.sparkSession
-    folder = f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+    folder = scratch(spark, "fingerprints")
     keyed = [] if similar is None else [shingles.signs().alias("signs")]
     plain = [col(c).cast("string") if "map<" in kind or "variant" in kind else col(c) for c, kind in documents.dtypes]  # these have no hash
     rows = documents.select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(own)]).alias("d"), "doc_id", "text", F.xxhash64(*plain).alias("content"), F.monotonically_increasing_id().alias("row"))
@@ -286,8 +285,9 @@ def representatives(documents: DataFrame, words: int = 3, radius: int = 3, simil
         labels = cut(each.join(joined, "fp", "left").select("key", "size", "bits", root.alias("label")))
         more = shingles.joined(marked.select("signs.key", text), labels, least=similar).select(F.col("node").alias("label"), F.col("root").alias("top"))
         joined = first.select("fp").join(joined, "fp", "left").select("fp", root.alias("label")).join(more, "label", "left").select("fp", F.coalesce("top", "label").alias("root"))
-    best = first.join(joined, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("best"))
-    kept = marked.select("d", "row").join(best.select(F.col("best.row").alias("row")), "row", "left_semi")
+    best = cut(first.join(joined, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("best")).select(F.col("best.row").alias("row")))
+    tidy(spark)
+    kept = marked.select("d", "row").join(best, "row", "left_semi")
     return kept.select(*[F.col(f"d.c{i}").alias(c) for i, c in enumerate(own)])
 
 

@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from clausewise.llm import bm25, decontam, html, labelled_pages, langid, mixing, quality, sharding, simhash, tokens, toxicity
 from clausewise.llm.components import components
@@ -503,3 +504,26 @@ def test_search_against_brute_force(spark, odd, sf_dir):
     two = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta")], "doc_id long, text string")
     asked = spark.createDataFrame([(9, "alpha"), (9, "gamma"), (9, "gamma")], "doc_id long, text string")
     assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in bm25.search(two, asked).collect()) == [(9, 1, 1), (9, 1, 2)]
+
+
+def test_pipeline_stages(spark, sf_dir, tmp_path):
+    """Each stage works on what the one before it kept; edge rows are borne; a rerun agrees; nothing but the result stays."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = [(10**6, None, None, None, None), (10**6 + 1, "", "en", None, 0), (None, "w " * 30_000, "en", "web", 60_000)]
+    seen = docs.unionByName(spark.createDataFrame([*extra, extra[1]], docs.schema)).withColumn("shard", F.lit("own"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, seen, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        seen = kept[name] = spark.read.parquet(f"{tmp_path}/{name}")
+        assert seen.columns == [*corpus_pipeline.COLUMNS, *(["shard"] if name == "sharding" else [])]
+    n = {k: d.count() for k, d in kept.items()}
+    assert docs.count() + 4 > n["quality"] > n["near_duplicates"] >= n["decontamination"] > 0 and n["sharding"] == n["mixing"]
+    fps = kept["near_duplicates"].select(simhash.fingerprints(3).alias("fp"))
+    assert fps.distinct().count() == n["near_duplicates"]
+    assert decontam.scan(kept["decontamination"], spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").count() == 0
+    once, again = (sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) for _ in range(2))
+    assert once == again and len({r["shard"] for r in kept["sharding"].collect()}) == 24
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
