@@ -52,3 +52,37 @@ def counterparty(role: Column) -> Column:
 
 def level_name(rank: Column) -> Column:
     return lookup(LEVELS, rank)
+
+
+# What a reader is shown of categories, levels, types and roles.
+CATEGORY_TITLES = {
+    "penalty": "Неустойка и штрафы", "auto_renewal": "Автопродление", "liability": "Ответственность и убытки", "force_majeure": "Форс-мажор", "jurisdiction": "Где решаются споры",
+    "termination": "Расторжение и выход из договора", "unilateral_change": "Одностороннее изменение условий", "payment": "Условия оплаты", "acceptance": "Приёмка и претензии",
+}
+CATEGORY_ABOUT = {
+    "penalty": "размер пени и штрафов, которые платит сторона, и есть ли у них потолок",
+    "auto_renewal": "продлевается ли договор сам и как от этого отказаться",
+    "liability": "за что и в каком объёме сторона отвечает деньгами",
+    "force_majeure": "что будет при обстоятельствах, от сторон не зависящих",
+    "jurisdiction": "в каком суде и по какому праву решаются споры",
+    "termination": "кто и на каких условиях может выйти из договора",
+    "unilateral_change": "может ли одна сторона менять цену или условия без согласия другой",
+    "payment": "когда и сколько платят, риск не получить деньги или товар",
+    "acceptance": "как принимается результат и сколько времени на претензии",
+}
+LEVEL_TITLES = {1: "Низкий риск", 2: "Средний риск", 3: "Высокий риск"}
+LEVEL_ADVICE = {
+    3: "Не подписывать в таком виде: добиться изменения или показать юристу.",
+    2: "Обсудить с контрагентом: условие хуже обычной практики.",
+    1: "Знать и помнить: условие распространено, но не нейтрально.",
+}
+TYPE_TITLES = {"lease": "Аренда", "supply": "Поставка", "works": "Подряд / услуги"}
+ROLE_TITLES = {"landlord": "Арендодатель", "tenant": "Арендатор", "supplier": "Поставщик", "buyer": "Покупатель", "contractor": "Подрядчик / исполнитель", "customer": "Заказчик"}
+DEFAULT_ROLE = {"lease": "tenant", "supply": "buyer", "works": "customer"}
+LEGAL = {
+    "penalty_reduction": "ст. 297 ГК РК — суд вправе уменьшить чрезмерно высокую неустойку",
+    "penalty_definition": "ст. 293 ГК РК — понятие неустойки",
+    "force_majeure": "п. 2 ст. 359 ГК РК — освобождение предпринимателя от ответственности при непреодолимой силе",
+    "adhesion": "ст. 389 ГК РК — договор присоединения и явно обременительные условия",
+    "unilateral_refusal": "ст. 404 ГК РК — односторонний отказ от договора и предупреждение не позднее чем за месяц",
+}

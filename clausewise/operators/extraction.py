@@ -108,21 +108,76 @@ def outcome(gold: Column, got: Column, failed: Column, kind: str = "string") ->
     return F.when(failed, "failed").when(gold.isNull() & got.isNull(), "correct").when(gold.isNull(), "hallucinated").when(got.isNull(), "missed").when(same, "correct").otherwise("wrong")
 
 
-# What is masked, in this order.
+def rates(outcomes: DataFrame) -> DataFrame:
+    """outcomes (outcome, empty: gold has no value): shares of hallucinated, missed and right fields; failed records stay in all denominators."""
+    n = {c: F.count_if(x).cast("double") for c, x in (("empty", F.col("empty")), ("full", ~F.col("empty")), ("all", F.lit(True)))}
+    share = {"hallucinated": ("hallucinated", "empty"), "missed": ("missed", "full"), "accuracy": ("correct", "all")}
+    return outcomes.agg(*[F.round(F.try_divide(F.count_if(F.col("outcome") == o), n[d]), 6).alias(k) for k, (o, d) in share.items()])
+
+
+def same_parties(gold: Column, got: Column) -> Column:
+    """Whether parties agree as sets of role, normalised name and number."""
+    def key(ps: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.transform(ps, lambda p: F.concat_ws("|", p["role"], party_name(p["name"]), F.coalesce(p["bin"], F.lit(""))))))
+
+    return key(gold) == key(got)
+
+
+def batch_totals(results: DataFrame) -> DataFrame:
+    """results (status, input_tokens, output_tokens): how many, how many valid, and tokens."""
+    return results.agg(F.count("*").alias("count"), F.count_if(F.col("status").startswith("ok")).alias("ok"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))
+
+
+def disputed(outcomes: DataFrame, models: list[str]) -> DataFrame:
+    """outcomes (doc_id, field, model, outcome, value): fields that one of the strong models got wrong, with what each said."""
+    wrong = outcomes.where(F.col("model").isin(*models) & (F.col("outcome") != "correct"))
+    return wrong.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("model", "outcome", "value"))).alias("said"))
+
+
+def overridden(draft: DataFrame, overrides: DataFrame, fields: list[str]) -> DataFrame:
+    """Draft records with the values that a reader has set (doc_id, field, value) in their place."""
+    set_ = overrides.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value")))).alias("__set"))
+    def value(f: str) -> Column:
+        said = F.try_element_at("__set", F.lit(f))
+        return F.when(said.isNotNull(), said["value"].cast(dict(draft.dtypes)[f])).otherwise(F.col(f)).alias(f)
+
+    return draft.join(set_, "doc_id", "left").select(*[value(c) if c in fields else F.col(c) for c in draft.columns])
+
+
+def oracle(records: dict[str, str], broken_every: int = 4) -> Mock:
+    """A model that knows the answer to each prompt, and breaks every n-th first reply (by its hash); a prompt with a retry gets the answer."""
+    import zlib
+
+    def reply(prompt: str) -> str:
+        known = next((a for p, a in records.items() if prompt.startswith(p)), "")
+        first = prompt in records
+        return "not json" if first and zlib.crc32(prompt.encode()) % broken_every == 0 else known
+
+    return Mock(reply)
+
+
+# What is masked, in this order: three forms of a person's name, accounts, identifiers, mail, telephones.
+_UP, _LOW = "А-ЯЁӘҒҚҢӨҰҮҺІ", "а-яёәғқңөұүһі"
+_FAMILY = rf"[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?"
+_INITIALS = rf"[{_UP}]\.\s?[{_UP}]\.?"
+_PATRONYMIC = rf"[{_UP}][{_LOW}]+(?:ович|евич|ич|овна|евна|ична|инична|ұлы|улы|қызы|кызы)"
 MASKS = (
-    (r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}\b", "[IBAN]"),
-    (r"\b\d{12}\b", "[ID]"),
-    (r"[\w.+-]+@[\w-]+\.[\w.]+", "[MAIL]"),
-    (r"(?:\+7|\b8)[\s(-]*\d{3}[\s)-]*\d{3}[\s-]?\d{2}[\s-]?\d{2}\b", "[PHONE]"),
+    (rf"(?<![{_UP}{_LOW}]){_FAMILY}\s+{_INITIALS}(?![{_LOW}])", "[ФИО]"),
+    (rf"(?<![{_UP}{_LOW}.]){_INITIALS}\s?{_FAMILY}(?![{_LOW}])", "[ФИО]"),
+    (rf"{_FAMILY}\s+[{_UP}][{_LOW}]+\s+{_PATRONYMIC}(?![{_LOW}])", "[ФИО]"),
+    (r"\bKZ\d{2}(?:\s?[A-Z0-9]{4}){4}\b", "[IBAN]"),
+    (r"(?<!\d)\d{12}(?!\d)", "[ИИН/БИН]"),
+    (r"[\w.+-]+@[\w-]+\.[\w.-]+", "[EMAIL]"),
+    (r"(?<!\d)(?:\+7|8)[\s(-]*\d{3}[\s)-]*\d{3}[\s-]*\d{2}[\s-]*\d{2}(?!\d)", "[ТЕЛЕФОН]"),
 )
 
 
 def redacted(text: Column) -> tuple[Column, Column]:
-    """The text with identifiers masked, and how many there were; each pattern sees what those before it left."""
+    """The text with names and identifiers masked, and how many there were; each pattern sees what those before it left."""
     n = F.lit(0)
     for pattern, mask in MASKS:
-        n = n + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, F.lit(mask.replace("[", r"[")))
+        n = n + F.regexp_count(text, F.lit("(?U)" + pattern))
+        text = F.regexp_replace(text, "(?U)" + pattern, mask)
     return text, n
 
 
@@ -137,6 +192,17 @@ def grounded(quote: Column, text: Column) -> Column:
     return (F.length(q) >= 3) & (F.instr(folded(text), q) > 0)
 
 
+def place_of(quote: Column, text: Column) -> Column:
+    """Where a quote stands in a text (quote, start, end in code points), found by a pattern made of its words; null if nowhere, or under three characters."""
+    q = F.regexp_replace(F.regexp_replace(quote, r"(?U)\s+", " "), r"""^[ .,;:"'«»“”„]+|[ .,;:"'«»“”„]+$""", "")
+    escaped = F.regexp_replace(q, r"([\\^$.|?*+()\[\]{}-])", r"\\$1")
+    loose = F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, '["«»“”„]', '["«»“”„]'), "[ёеЁЕ]", "[её]"), " ", r"\\s+")
+    pattern = F.concat(F.lit("(?iuU)"), loose)
+    start = F.regexp_instr(text, pattern) - 1
+    hit = F.regexp_substr(text, pattern)
+    return F.when((F.length(q) >= 3) & (start >= 0), F.struct(hit.alias("quote"), start.alias("start"), (start + F.length(hit)).alias("end")))
+
+
 def cost_per_100(tokens: DataFrame, pricing: DataFrame) -> DataFrame:
     """tokens (model, input, output by document), pricing (model, in_price, out_price per million): cost of 100 documents; `kind:*` prices a kind's models that have no row."""
     per = tokens.groupBy("model").agg(F.avg("input").alias("i"), F.avg("output").alias("o"))

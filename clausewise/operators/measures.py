@@ -41,6 +41,34 @@ def scored(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def bundle(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(measure, tp, fp, fn): detection by document and clause, strict with the category, and recall of clauses whose gold level is high."""
+    clause = ["doc_id", "clause"]
+    high = gold.where("level = 3")
+    parts = {"detection": outcomes(gold, predicted, clause), "strict": outcomes(gold, predicted, [*clause, "category"]), "high": outcomes(high, predicted.join(high.select(*clause).distinct(), clause, "left_semi"), clause)}
+    out = None
+    for name, counts in parts.items():
+        one = counts.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).select(F.lit(name).alias("measure"), "tp", "fp", "fn")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def coverage(gold: DataFrame, clauses: DataFrame) -> DataFrame:
+    """How many gold clauses the segmenter found."""
+    g = gold.where("clause is not null").select("doc_id", "clause").distinct()
+    hit = g.join(clauses.select("doc_id", F.col("clause_id").alias("clause")).distinct(), ["doc_id", "clause"], "left_semi").count()
+    return g.agg(F.lit(hit).alias("found"), F.count("*").alias("all"))
+
+
+def macro_interval(accuracies: DataFrame, times: int = 1000, seed: int = 13) -> DataFrame:
+    """accuracies (pos, accuracy) by document: the mean's bounds over resamples of documents."""
+    n = accuracies.count()
+    spark = accuracies.sparkSession
+    draws = spark.range(times).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("j")).select("resample", F.pmod(F.xxhash64("resample", "j", F.lit(seed)), F.lit(max(1, n))).alias("pos"))
+    means = draws.join(accuracies, "pos").groupBy("resample").agg(F.avg("accuracy").alias("m"))
+    return means.agg(*[F.bround(F.percentile("m", q), 4).alias(name) for q, name in ((0.025, "low"), (0.975, "high"))])
+
+
 def level_confusion(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """Of matches: how many have the gold level, a lower or a higher one; the highest level of a key counts."""
     g, p = gold.groupBy(*keys).agg(F.max("level").alias("g")), predicted.groupBy(*keys).agg(F.max("level").alias("p"))

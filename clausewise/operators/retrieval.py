@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,26 +73,54 @@ def hashed_vector(text: Column, size: int = 1024) -> Column:
     return normalized(dense)
 
 
-def nearest(queries: DataFrame, references: DataFrame, k: int, same: list[str] | None = None) -> DataFrame:
-    """queries (query_id, vector), references (ref_id, vector): the k nearest by cosine, ties by ref_id.
+def nearest(queries: DataFrame, references: DataFrame, k: int, same: list[str] | None = None, rows: int = 1000) -> DataFrame:
+    """queries (query_id, vector), references (ref_id, vector), ids distinct: the k nearest by cosine, ties by ref_id.
 
-    References are a curated table of some dozens of rows; up to `spark.sql.autoBroadcastJoinThreshold`
-    Spark ships them, beyond it the join is by the filter columns.
+    Both sides are dealt to blocks of about so many rows (of the same filter columns); each block of
+    queries meets each block of references in one matrix product that hands on k a query, and a window
+    ranks those. Columns of both sides come along.
     """
-    q = queries.withColumn("__q", normalized(F.col("vector"))).drop("vector")
-    r = references.withColumn("__r", normalized(F.col("vector"))).drop("vector")
     keys = same or []
-    joined = q.join(r, keys) if keys else q.withColumn("__one", F.lit(1)).join(r.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    scored = joined.withColumn("score", dot(F.col("__q"), F.col("__r"))).drop("__q", "__r")
+    q_type, r_type = (d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (references, "ref_id")))
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        n = max(1, -(-side.count() // rows))
+        vectors = side.select(*keys, F.pmod(F.xxhash64(name), F.lit(n)).alias(f"{name}_block"), F.struct(F.col(name).alias("id"), normalized(F.col("vector")).alias("v")).alias("x"))
+        return vectors.groupBy(*keys, f"{name}_block").agg(F.sort_array(F.collect_list("x")).alias(f"{name}_rows"))
+
+    @F.pandas_udf(f"array<struct<query_id:{q_type},ref_id:{r_type},score:double>>")
+    def best(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for own, others in zip(left, right, strict=True):
+            scores = np.array([list(x["v"]) for x in own]) @ np.array([list(x["v"]) for x in others]).T
+            tops = np.argsort(-scores, axis=1, kind="stable")[:, :k] if len(others) > k else np.tile(np.arange(len(others)), (len(own), 1))
+            edge = np.take_along_axis(scores, tops, 1).min(axis=1)
+            # sums differ in their last digits: what comes that near to the k-th goes on as well
+            out.append([{"query_id": own[i]["id"], "ref_id": others[j]["id"], "score": float(scores[i, j])} for i in range(len(own)) for j in np.flatnonzero(scores[i] >= edge[i] - 1e-9).tolist()])
+        return pd.Series(out)
+
+    left, right = blocks(queries, "query_id"), blocks(references, "ref_id")
+    met = left.join(right, keys) if keys else left.crossJoin(right)  # rows are blocks
+    found = met.select(F.explode(best("query_id_rows", "ref_id_rows")).alias("x")).select("x.query_id", "x.ref_id", F.round("x.score", 12).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.join(references.drop("vector", *keys), "ref_id").join(queries.drop("vector"), "query_id")
 
 
-def nearest_with_fallback(queries: DataFrame, references: DataFrame, k: int, language: str = "lang", fallback: str = "ru") -> DataFrame:
+def matching(references: DataFrame, **filters: str | None) -> DataFrame:
+    """References that agree with every filter that isn't None."""
+    for name, value in filters.items():
+        if value is not None:
+            references = references.where(F.col(name) == value)
+    return references
+
+
+def nearest_with_fallback(queries: DataFrame, references: DataFrame, k: int, language: str = "lang", fallback: str = "ru", same: list[str] | None = None) -> DataFrame:
     """Nearest within the query's language; queries that find nothing there ask again in the fallback language."""
-    own = nearest(queries, references, k, [language])
+    keys = [language, *(same or [])]
+    own = nearest(queries, references, k, keys)
     left = queries.join(own.select("query_id").distinct(), "query_id", "left_anti").where(F.col(language) != fallback)
-    again = nearest(left.withColumn(language, F.lit(fallback)), references, k, [language])
+    again = nearest(left.withColumn(language, F.lit(fallback)), references, k, keys)
     return own.unionByName(again)
 
 

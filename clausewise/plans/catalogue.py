@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clausewise.dims import TYPE_OF, lookup
 from clausewise.functions import numbers, text
 from clausewise.operators import extraction, findings, measures, parties, retrieval, rules, segment
-from clausewise.plans import factory, learning, shapes
+from clausewise.plans import factory, learning, screening, shapes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -467,12 +467,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in PLAIN}
     out |= {"rule_" + r.replace(".", "_"): partial(rule, rule_id=r) for r in factory.WORDINGS}
     out["html_report"] = html_report
-    out |= {name: query for module in MODULES for name, (query, _) in module.QUERIES.items()}
+    out |= {name: query for name, (query, _) in more().items()}
     return out | {"knn_topk": partial(knn, same=False), "knn_filtered": partial(knn, same=True), "penalty_flagship": flagship}
 
 
-#: Modules with queries of their own: name -> (query, its SQL or None).
-MODULES = (shapes, learning)
+def more() -> dict[str, tuple]:
+    """Queries of other modules: name -> (query, its SQL or None)."""
+    return shapes.QUERIES | learning.QUERIES | screening.queries()
+
 
 PLAIN = (
     percent_spans, percent_spans_all, duration_days, party_payers, segment_contracts, doc_force_majeure_missing, doc_liability_one_sided, report_order, normalize_lines, letter_share_language, type_scores, page_offsets, clause_page, repeated_lines,
@@ -490,7 +492,7 @@ def oracle_sql() -> dict[str, str]:
         "prf_detection": prf_sql, "prf_slices": slices_sql(), "clean_false_alarms": ALARM_SQL, "threshold_sweep": SWEEP_SQL, "bootstrap_ci": BOOTSTRAP_SQL, "latest_run_per_model": LATEST_SQL, "highlight_merge": HIGHLIGHT_SQL, "corpus_hash": HASH_SQL,
         "extraction_compare": COMPARE_SQL, "cost_per_100": COST_SQL, "latency_quantiles": LATENCY_SQL, "penalty_flagship": FLAGSHIP_SQL,
         **{"rule_" + r.replace(".", "_"): factory.expected_sql(r) for r in factory.WORDINGS},
-        **{name: sql for module in MODULES for name, (_, sql) in module.QUERIES.items() if sql is not None},
+        **{name: sql for name, (_, sql) in more().items() if sql is not None},
     }
 
 
