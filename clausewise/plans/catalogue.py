@@ -458,7 +458,7 @@ def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausewise.sources import report
 
     docs = contracts(spark, sf_dir)
-    clauses = segment.clauses(docs)
+    clauses = learning.kept(spark)(segment.clauses(docs))  # asked for several times
     found = findings.ordered(findings.findings(clauses, requests(docs)))
     return report.html(found, clauses)
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterator
+from typing import Protocol
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewise.functions.text import normalized, without_repeated_lines
+from clausewise.sources import word
+
 FORMATS = {"txt": "txt", "docx": "docx", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "tif": "image", "tiff": "image"}
-W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+# A text layer with less on a page is a scan; so many signs without a letter spoil it.
+CHARS_PER_PAGE, BROKEN_SIGNS = 50, 20
 
 
 def plain(data: bytes) -> tuple[str, list[str]]:
@@ -23,43 +27,74 @@ def plain(data: bytes) -> tuple[str, list[str]]:
         return data.decode("cp1251", "replace"), ["not UTF-8: read as cp1251"]
 
 
-def paragraph(p: ElementTree.Element) -> str:
-    return "".join(x.text or "" if x.tag == W + "t" else "\t" if x.tag == W + "tab" else "\n" if x.tag in (W + "br", W + "cr") else "" for x in p.iter()).strip()
+class Pages(Protocol):
+    """A reader of page files: the text of each page, from the file's text layer or by recognising pictures. Neither comes with this library."""
 
+    name: str
 
-def word(data: bytes) -> tuple[str, list[str]]:
-    """Paragraphs and tables of a document's body in order; a row's cells are joined by a bar."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(W + "body")
-    lines = []
-    for child in body if body is not None else ():
-        if child.tag == W + "p":
-            lines.append(paragraph(child))
-        elif child.tag == W + "tbl":
-            lines += [" | ".join(filter(None, (" ".join(paragraph(p) for p in cell.iter(W + "p")) for cell in row.iter(W + "tc")))) for row in child.iter(W + "tr")]
-    return "\n".join(lines), []
+    def pages(self, data: bytes, kind: str) -> list[str]: ...
 
 
-def load(data: bytes, kind: str | None) -> tuple[str | None, list[str]]:
+def load(data: bytes, kind: str | None, prefer: str = "ru") -> tuple[str | None, list[str]]:
     try:
         if kind == "txt":
             return plain(data)
         if kind == "docx":
-            return word(data)
+            return word.read(data, prefer)
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
         return None, [f"unreadable: {e}"]
     return None, ["needs a reader of its own" if kind else "unsupported format"]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, prefer: str = "ru") -> DataFrame:
     """(doc_id, path, source_format, text, warnings) of all files below a path; unreadable ones keep a null text and a warning."""
 
     @F.pandas_udf("text string, warnings array<string>")
     def loaded(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for contents, kinds in it:
-            yield pd.DataFrame([load(c, k) for c, k in zip(contents, kinds, strict=True)], columns=["text", "warnings"])
+            yield pd.DataFrame([load(c, k, prefer) for c, k in zip(contents, kinds, strict=True)], columns=["text", "warnings"])
+
+    r = contents(spark, path).withColumn("r", loaded("content", "source_format"))
+    return r.select("doc_id", "path", "source_format", normalized(F.col("r.text")).alias("text"), "r.warnings")
 
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, path, source_format, content) of all files below a path; doc_id is of the content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     known = F.try_element_at(F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv]), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
-    r = files.withColumn("source_format", known).withColumn("r", loaded("content", "source_format"))
-    return r.select(F.substring(F.sha2("content", 256), 1, 12).alias("doc_id"), "path", "source_format", "r.text", "r.warnings")
+    return files.select(F.substring(F.sha2("content", 256), 1, 12).alias("doc_id"), "path", known.alias("source_format"), "content")
+
+
+def parse_text(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) as a source of documents: normalised, without warnings."""
+    return texts.select("doc_id", F.lit("txt").alias("source_format"), normalized(F.col("text")).alias("text"), F.array().cast("array<string>").alias("warnings"))
+
+
+def paged(files: DataFrame, reader: Pages) -> DataFrame:
+    """files (doc_id, source_format, content) of pages: (doc_id, page_no, text) by a reader."""
+
+    @F.pandas_udf("array<string>")
+    def of(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for data, kinds in it:
+            yield pd.Series([reader.pages(d, k) for d, k in zip(data, kinds, strict=True)])
+
+    return files.select("doc_id", F.posexplode_outer(of("content", "source_format")).alias("page_no", "text"))
+
+
+def scans(pages: DataFrame) -> DataFrame:
+    """pages (doc_id, page_no, text): documents whose text layer is no use, with needs_ocr and a warning: too few characters a page, or a font without a table of characters."""
+    t = F.coalesce("text", F.lit(""))
+    per = pages.groupBy("doc_id").agg(F.avg(F.length(F.trim(t))).alias("chars"), F.sum(F.regexp_count(t, F.lit(r"\(cid:"))).alias("broken"))
+    broken, few = F.col("broken") > BROKEN_SIGNS, F.col("chars") < CHARS_PER_PAGE
+    warnings = F.array_compact(F.array(F.when(broken, "the font has no table of characters"), F.when(broken | few, "looks like a scan: needs recognising")))
+    return per.select("doc_id", (broken | few).alias("needs_ocr"), warnings.alias("warnings"))
+
+
+def assembled(pages: DataFrame) -> DataFrame:
+    """pages (doc_id, page_no, text) as documents (doc_id, text, page_starts): each page normalised, headers and footers dropped."""
+    lines = pages.select("doc_id", "page_no", F.posexplode(F.split(F.rtrim(normalized(F.coalesce("text", F.lit("")))), "\n")).alias("line_no", "line"))
+    kept = without_repeated_lines(lines).groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    all_ = pages.select("doc_id", "page_no").join(kept, ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.when(F.coalesce("text", F.lit("")) == "", "").otherwise(F.concat("text", F.lit("\n"))).alias("text"))
+    own = all_.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]).alias("t"))
+    starts = F.transform("t", lambda x, i: F.aggregate(F.slice("t", F.lit(1), i), F.lit(0), lambda n, y: n + F.length(y)))
+    return own.select("doc_id", F.array_join("t", "").alias("text"), starts.alias("page_starts"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausewise.operators.explain import DISCLAIMER, explained
 from clausewise.operators.findings import merged_spans
 
 
@@ -20,21 +21,32 @@ def marked(text: str, spans) -> str:
     return "".join([*out, escape(text[at:])])
 
 
+NAMES = {3: "high", 2: "medium", 1: "low"}
+
+
+def card(f) -> str:
+    """A finding: what, why, the clause with its evidence marked, and what to do."""
+    told = [f"<p>{escape(f[k])}</p>" for k in ("explanation", "advice") if f[k]]
+    told += [f"<p class={k}>{escape(f[k])}</p>" for k in ("safer_wording", "legal_basis") if f[k]]
+    quote = f"<blockquote>{marked(f['clause_text'], f['spans'])}</blockquote>" if f["clause_text"] else ""
+    where = f" ({escape(f['clause_id'])})" if f["clause_id"] else ""
+    return f"<section id=\"f{f['finding_ord']}\"><h2>{escape(f['title'] or f['rule_id'])}{where}: {NAMES[f['level']]}</h2>{quote}{''.join(told)}</section>"
+
+
 def html(found: DataFrame, clauses: DataFrame) -> DataFrame:
-    """found: findings with finding_ord. (doc_id, party_role, html)."""
+    """found: findings with finding_ord. (doc_id, party_role, html): the counts, the three first findings of the highest level, then all."""
     texts = clauses.select("doc_id", "clause_id", F.col("text").alias("clause_text"))
-    cards = found.withColumn("spans", merged_spans(F.col("evidence"))).join(texts, ["doc_id", "clause_id"], "left")
-    per = cards.groupBy("doc_id", "party_role").agg(F.array_sort(F.collect_list(F.struct("finding_ord", "level", "rule_id", "clause_id", "clause_text", "spans"))).alias("f"))
+    cards = explained(found).withColumn("spans", merged_spans(F.col("evidence"))).join(texts, ["doc_id", "clause_id"], "left")
+    per = cards.groupBy("doc_id", "party_role").agg(F.array_sort(F.collect_list(F.struct("finding_ord", "level", "rule_id", "title", "explanation", "advice", "safer_wording", "legal_basis", "clause_id", "clause_text", "spans"))).alias("f"))
 
     @F.pandas_udf("string")
     def page(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        names = {3: "high", 2: "medium", 1: "low"}
         for roles, all_ in it:
             out = []
-            for role, found_ in zip(roles, all_, strict=True):
-                counts = ", ".join(f"{sum(f['level'] == k for f in found_)} {n}" for k, n in names.items())
-                own = "".join(f"<section id=\"f{f['finding_ord']}\"><h2>{escape(f['rule_id'])}: {names[f['level']]}</h2><p>{marked(f['clause_text'] or '', f['spans'])}</p></section>" for f in found_)
-                out.append(f"<!DOCTYPE html><meta charset=utf-8><h1>Risks for {escape(role)}</h1><p>{counts}</p>{own}")
+            for role, own in zip(roles, all_, strict=True):
+                counts = ", ".join(f"{sum(f['level'] == k for f in own)} {n}" for k, n in NAMES.items())
+                first = "".join(f"<li><a href=\"#f{f['finding_ord']}\">{escape(f['title'] or f['rule_id'])}</a></li>" for f in [f for f in own if f["level"] == 3][:3])
+                out.append(f"<!DOCTYPE html><meta charset=utf-8><h1>Risks for {escape(role)}</h1><p>{counts}</p>{'<ol>' + first + '</ol>' if first else ''}{''.join(map(card, own))}<footer>{escape(DISCLAIMER)}</footer>")
             yield pd.Series(out, dtype=object)
 
     return per.select("doc_id", "party_role", page("party_role", "f").alias("html"))
