@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -47,30 +49,24 @@ def normalized(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v.cast("array<double>"))
 
 
-def word_grams(word: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
-    """Runs of so many characters of a word padded by a space; a word shorter than a run is one."""
-    p = F.concat(F.lit(" "), word, F.lit(" "))
-
-    def of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - (n - 1), F.lit(1))), lambda i: F.substring(p, i, F.lit(n)))
-
-    return F.flatten(F.array(*map(of, sizes)))
+def grams(text: str, sizes: tuple[int, ...] = (3, 4, 5)) -> list[str]:
+    """Runs of so many characters of words padded by a space; a word shorter than a run is one."""
+    padded = [f" {w} " for w in text.lower().split()]
+    return [p[i : i + n] for p in padded for n in sizes for i in range(max(1, len(p) - n + 1))]
 
 
 def hashed_vector(text: Column, size: int = 1024) -> Column:
-    """Counts of character n-grams (3 to 5, of padded words) by hash, of length one.
+    """Counts of character n-grams (3 to 5, of padded words) by hash, of length one; all zero without a word, and for null."""
 
-    The places that occur are counted as a histogram over their sorted array: one pass, whatever the size.
-    """
-    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
-    ids = F.array_sort(F.transform(F.flatten(F.transform(words, lambda w: word_grams(w))), lambda g: F.pmod(F.hash(g), F.lit(size))))
-    # runs of equal ids: the last place of each (by the next id), and how long it is
-    following = F.concat(F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0))), F.array(F.lit(-1)))
-    ends = F.filter(F.transform(F.arrays_zip(ids.alias("id"), following.alias("next")), lambda x, i: F.struct(x["id"].alias("id"), F.when(x["id"] != x["next"], i + 1).alias("end"))), lambda x: x["end"].isNotNull())
-    starts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda x: x["end"]))
-    counts = F.map_from_entries(F.transform(ends, lambda x, i: F.struct(x["id"].alias("id"), (x["end"] - F.get(starts, i)).cast("double").alias("n"))))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0.0)))
-    return normalized(dense)
+    @F.pandas_udf("array<double>")
+    def of(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            v = np.bincount(np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % size for g in grams(t or "")], dtype=np.int64), minlength=size).astype(float)
+            out.append(v / (np.linalg.norm(v) or 1.0))
+        return pd.Series(out)
+
+    return of(text)
 
 
 def nearest(queries: DataFrame, references: DataFrame, k: int, same: list[str] | None = None, rows: int = 1000) -> DataFrame:

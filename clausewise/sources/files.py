@@ -92,7 +92,7 @@ def scans(pages: DataFrame) -> DataFrame:
 
 def assembled(pages: DataFrame) -> DataFrame:
     """pages (doc_id, page_no, text) as documents (doc_id, text, page_starts): each page normalised, headers and footers dropped."""
-    lines = pages.select("doc_id", "page_no", F.posexplode(F.split(F.rtrim(normalized(F.coalesce("text", F.lit("")))), "\n")).alias("line_no", "line"))
+    lines = pages.select("doc_id", "page_no", F.posexplode(F.split(F.regexp_replace(normalized(F.coalesce("text", F.lit(""))), r"\n+$", ""), "\n")).alias("line_no", "line"))
     kept = without_repeated_lines(lines).groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     all_ = pages.select("doc_id", "page_no").join(kept, ["doc_id", "page_no"], "left").select("doc_id", "page_no", F.when(F.coalesce("text", F.lit("")) == "", "").otherwise(F.concat("text", F.lit("\n"))).alias("text"))
     own = all_.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]).alias("t"))
