@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import bm25, decontam, html, langid, mixing, quality, sharding, simhash, tokens, toxicity
+from clausewise.llm import bm25, decontam, html, langid, mixing, negatives, quality, sharding, simhash, substring, tokens, toxicity, trie
 from clausewise.llm.common import fold, table
 
 
@@ -61,13 +61,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2), "lang_pred", "score", "rejected")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"), "embedding")
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.branched(trie.turns(table(spark, sf_dir, "conversations"))))
+
+
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def held_out(n: int, k: int):
     return (fold(F.col("doc_id"), n) == k).alias("held_out")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_sharding, op4_mixing, op5_html, op6_decontamination, op7_bm25, op8_tokens, op9_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_sharding, op4_mixing, op5_html, op6_decontamination, op7_bm25, op8_tokens, op9_toxicity, op10_language, op11_negatives, op12_trie, op13_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontam.ORACLE}
+    return {"op6_decontamination": decontam.ORACLE, "op11_negatives": negatives.ORACLE, "op12_trie": trie.ORACLE, "op13_substrings": substring.ORACLE}
