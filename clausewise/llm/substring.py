@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from clausewise.llm.common import cut, partitions, tidy, with_result
 
 WINDOW = 20
-PART_CHARS = 16_000_000
+PART_CHARS = 6_000_000
 #: Bytes of text that are turned into arrays at once; a longer text is a slice of its own.
-SLICE = 2_000_000
+SLICE = 1_000_000
 DEPTH = 2
 #: Cells of a block of the sketch, as a power of two.
 BLOCK_BITS = 24
