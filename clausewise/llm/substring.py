@@ -151,8 +151,10 @@ def risen(b: bytes, kind) -> np.ndarray:
 
 
 def by_block(sorted_keys: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
+    if not len(sorted_keys):
+        return
     block = sorted_keys >> np.uint64(shift) if shift < 64 else np.zeros(len(sorted_keys), np.uint64)
-    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     for a, b in zip(edges, [*edges[1:], len(block)], strict=True):
         yield int(block[a]), slice(a, b)
 

@@ -59,8 +59,10 @@ def ended(pairs: DataFrame) -> DataFrame:
     def hashed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state, n, least = None, None, 0, 0
         for pdf in it:
+            if not len(pdf):
+                continue
             s, ids = pdf["s"].to_numpy(), pdf["conv_id"].to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else []
+            edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             done = []
             for a, b in zip(edges, [*edges[1:], len(s)], strict=True):
                 text = ",".join(map(str, ids[a:b].tolist())).encode()
