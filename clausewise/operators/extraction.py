@@ -4,20 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: field -> type; names and ranges of a record (null always allowed but for those in REQUIRED).
+class Field(NamedTuple):
+    """What a field of a record may hold: its type, bounds (least excluded if `above`), the values to choose from, whether null is allowed."""
+
+    type: str
+    least: float | None = None
+    most: float | None = None
+    above: bool = False
+    choice: tuple[str, ...] = ()
+    nullable: bool = True
+
+
+# The fields of a record, their choices and bounds, in order; parties come fifth.
+ROLES = ("landlord", "tenant", "supplier", "buyer", "contractor", "customer")
 FIELDS = {
-    "contract_type": "string", "contract_number": "string", "contract_date": "date", "city": "string", "term_months": "int", "auto_renewal": "boolean", "price_amount": "double", "price_period": "string",
-    "payment_deadline_days": "int", "payment_penalty_rate_percent_per_day": "double", "payment_penalty_cap_percent": "double", "dispute_forum": "string", "termination_notice_days": "int",
+    "contract_type": Field("string", choice=("lease", "supply", "works"), nullable=False), "contract_number": Field("string"), "contract_date": Field("date"), "city": Field("string"), "term_months": Field("int", 1, 600), "auto_renewal": Field("boolean", nullable=False),
+    "price_amount": Field("double", 0, above=True), "price_period": Field("string", choice=("monthly", "total")), "payment_deadline_days": Field("int", 0, 365), "payment_penalty_rate_percent_per_day": Field("double", 0, 100),
+    "payment_penalty_cap_percent": Field("double", 0, 1000), "dispute_forum": Field("string", choice=("kz_courts", "counterparty_location_court", "aifc_court", "foreign_arbitration")), "termination_notice_days": Field("int", 0, 365),
 }
-RANGES = {"term_months": (1, 600), "payment_deadline_days": (0, 365), "payment_penalty_rate_percent_per_day": (0, 100), "payment_penalty_cap_percent": (0, 1000), "termination_notice_days": (0, 365)}
-REQUIRED = ("contract_type", "auto_renewal")
-SCHEMA = ", ".join(f"{k} {v}" for k, v in FIELDS.items()) + ", parties array<struct<role:string,name:string,bin:string>>"
+PARTY = {"role": Field("string", choice=ROLES, nullable=False), "name": Field("string", nullable=False), "bin": Field("string")}
+YEARS = (2000, 2100)
+PARTIES = 2
+#: Faults that are reported.
+MOST_FAULTS = 12
 
 
 def recovered(reply: Column) -> Column:
@@ -27,20 +42,90 @@ def recovered(reply: Column) -> Column:
     return F.when((a > 0) & (z > a) & t.contains("}"), F.substring(t, a, z - a + 1))
 
 
-def faults(record: Column, raw: Column) -> Column:
-    """What a record breaks, as an array of names; empty if it is valid."""
-    keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
-    known = [*FIELDS, "parties"]
-    checks = [F.when(record.isNull() | raw.isNull(), "json")]
-    checks += [F.when(~F.array_contains(keys, k), f"{k}: missing") for k in known]
-    checks += [F.when(F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0, "unknown field")]
-    checks += [F.when(record[k].isNull(), f"{k}: null") for k in REQUIRED]
-    checks += [F.when(~record[k].between(lo, hi), f"{k}: range") for k, (lo, hi) in RANGES.items()]
-    checks += [F.when(record["price_amount"] <= 0, "price_amount: range"), F.when(record["price_period"].isNotNull() & record["price_amount"].isNull(), "price_period: without amount")]
-    checks += [F.when(~F.year(record["contract_date"]).between(2000, 2100), "contract_date: range")]
-    ps = record["parties"]
-    checks += [F.when(ps.isNull() | (F.size(ps) != 2), "parties: two").when(ps[0]["role"] == ps[1]["role"], "parties: roles"), F.when(F.exists(ps, lambda p: p["bin"].isNotNull() & ~p["bin"].rlike(r"^\d{12}$")), "parties: bin")]
-    return F.array_compact(F.array(*checks))
+def raw_of(of: Column, key: str) -> Column:
+    """The raw value of a key as a variant; null if the key is missing, a variant of type VOID if it is null."""
+    return F.try_variant_get(of, f"$['{key}']", "variant")
+
+
+def kind_of(raw: Column) -> Column:
+    """NULL for a missing key, else VOID, BOOLEAN, BIGINT, DECIMAL, DOUBLE, STRING, OBJECT, ARRAY."""
+    return F.regexp_extract(F.schema_of_variant(raw), r"^(\w+)", 1)
+
+
+def typed(raw: Column, type_: str) -> Column:
+    """A raw value as a type; null unless it is of it. Numbers and truth values may also be written as strings, whole numbers as 12.0, truth values as 0 and 1."""
+    kind = kind_of(raw)
+    said = F.trim(F.try_variant_get(raw, "$", "string"))
+    plain = kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN")
+    number = F.when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("double")).when(plain | ((kind == "STRING") & said.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")), said.try_cast("double"))
+    if type_ == "string":
+        return F.when(kind == "STRING", F.try_variant_get(raw, "$", "string"))
+    if type_ == "double":
+        return number
+    if type_ == "int":
+        return F.when((number == F.floor(number)) & (F.abs(number) < 2.0**31) & ~((kind == "STRING") & said.rlike("[eE]")), number.cast("int"))
+    if type_ == "date":
+        return F.when((kind == "STRING") & said.rlike(r"^\d{4}-\d{2}-\d{2}(T00:00(:00)?)?$"), F.substring(said, 1, 10).try_cast("date"))
+    word = F.lower(said)
+    return F.when(word.isin("true", "t", "yes", "y", "on", "1", "1.0"), True).when(word.isin("false", "f", "no", "n", "off", "0", "0.0"), False)
+
+
+def broken(path: Column, raw: Column, value: Column, field: Field, required: bool = True) -> Column:
+    """What is wrong with a field (path: what), null if nothing is."""
+    say = lambda what: F.concat(path, F.lit(f": {what}"))
+    out = F.when(raw.isNull(), say("missing") if required else F.lit(None))
+    out = out.when(kind_of(raw) == "VOID", F.lit(None) if field.nullable else say("null"))
+    out = out.when(value.isNull(), say(f"not a {field.type}"))
+    if field.choice:
+        out = out.when(~value.isin(*field.choice), say("not one of its choices"))
+    if field.least is not None:
+        out = out.when((value <= field.least) if field.above else (value < field.least), say("too small"))
+    if field.most is not None:
+        out = out.when(value > field.most, say("too large"))
+    if field.type == "date":
+        out = out.when(~F.year(value).between(*YEARS), say("out of years"))
+    return out
+
+
+def keys_of(raw: Column) -> Column:
+    return F.coalesce(F.map_keys(F.try_variant_get(raw, "$", "map<string,variant>")), F.array().cast("array<string>"))
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """rows (reply) with json, record (typed; of use without faults only) and faults, at most the first twelve, in the order of the fields.
+
+    A raw value's own type is looked at before it is cast, so "abc" is no number, "1 мая" no date and an
+    unknown key no detail. A key that occurs twice makes the whole reply no JSON.
+    """
+    own = list(rows.columns)
+    parsed = rows.withColumn("json", recovered(F.col("reply"))).withColumn("__v", F.try_parse_json("json"))
+    raws = parsed.select("*", F.explode(F.array(F.struct(*[raw_of(F.col("__v"), f).alias(f) for f in [*FIELDS, "parties"]], keys_of(F.col("__v")).alias("__keys")))).alias("__raw"))
+    raw = lambda f: F.col("__raw").getField(f)
+    party = lambda p: F.struct(*[typed(raw_of(p, f), spec.type).alias(f) for f, spec in PARTY.items()])
+    listed = F.when(kind_of(raw("parties")) == "ARRAY", F.try_variant_get(raw("parties"), "$", "array<variant>"))
+    valued = raws.select("*", F.explode(F.array(F.struct(*[typed(raw(f), spec.type).alias(f) for f, spec in FIELDS.items()], F.transform(listed, party).alias("parties")))).alias("record"))
+    record = F.col("record")
+
+    def of_party(p: Column, i: Column) -> Column:
+        at = lambda f: F.concat(F.lit("parties."), i.cast("string"), F.lit(f".{f}"))
+        value = {f: typed(raw_of(p, f), spec.type) for f, spec in PARTY.items()}
+        found = [broken(at(f), raw_of(p, f), value[f], spec, required=f != "bin") for f, spec in PARTY.items()]
+        found[1] = F.coalesce(found[1], F.when(F.length(value["name"]) < 2, F.concat(at("name"), F.lit(": too short"))))
+        found[2] = F.coalesce(found[2], F.when(~value["bin"].rlike(r"^\d{12}$"), F.concat(at("bin"), F.lit(": not twelve digits"))))
+        unknown = F.transform(F.array_except(keys_of(p), F.array(*map(F.lit, PARTY))), lambda k: F.concat(F.lit("parties."), i.cast("string"), F.lit("."), k, F.lit(": unknown")))
+        return F.when(kind_of(p) == "OBJECT", F.concat(F.array_compact(F.array(*found)), F.array_sort(unknown))).otherwise(F.array(F.concat(F.lit("parties."), i.cast("string"), F.lit(": not an object"))))
+
+    checks = [broken(F.lit(f), raw(f), record[f], spec) for f, spec in FIELDS.items()]
+    at = list(FIELDS).index("price_period")
+    checks[at] = F.coalesce(checks[at], F.when(record["price_period"].isNotNull() & record["price_amount"].isNull(), "price_period: without amount"))
+    each = F.flatten(F.transform(listed, of_party))
+    of_list = F.when(raw("parties").isNull(), F.array(F.lit("parties: missing"))).when(listed.isNull(), F.array(F.lit("parties: not a list"))).otherwise(
+        F.concat(each, F.when(F.size(listed) != PARTIES, F.array(F.lit("parties: not two"))).when((F.size(each) == 0) & (record["parties"][0]["role"] == record["parties"][1]["role"]), F.array(F.lit("parties: one role"))).otherwise(F.array().cast("array<string>")))
+    )
+    unknown = F.transform(F.array_sort(F.array_except(raw("__keys"), F.array(*map(F.lit, [*FIELDS, "parties"])))), lambda k: F.concat(k, F.lit(": unknown")))
+    before_, after_ = (F.array_compact(F.array(*part)) for part in (checks[:4], checks[4:]))
+    found = F.when(F.col("__v").isNull(), F.array(F.lit("json"))).otherwise(F.slice(F.concat(before_, of_list, after_, unknown), 1, MOST_FAULTS))
+    return valued.select(*own, "json", record, found.alias("faults"))
 
 
 class Backend(Protocol):
@@ -76,11 +161,6 @@ def called(rows: DataFrame, backend: Backend, prompt: str = "prompt") -> DataFra
     return rows.withColumn("__c", call(prompt)).select(*rows.columns, "__c.reply", "__c.error")
 
 
-def checked(rows: DataFrame) -> DataFrame:
-    raw = rows.withColumn("json", recovered(F.col("reply"))).withColumn("record", F.from_json("json", SCHEMA))
-    return raw.withColumn("faults", faults(F.col("record"), F.col("json")))
-
-
 def extract(texts: DataFrame, backend: Backend, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """texts (doc_id, prompt): record, status and attempts. One retry with what was wrong. keep() writes a pass and reads it back."""
     first = keep(checked(called(texts.select("doc_id", "prompt"), backend)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clausewise.dims import STEMS, TYPE_OF, TYPES, lookup
-from clausewise.functions.text import FLAGS, after, before, has, spans
+from clausewise.dims import STEMS, TYPES, lookup
+from clausewise.functions.text import after, before, has, spans
 
 MENTION = "array<struct<start:int,end:int,role:string,gcase:string>>"
 LETTERS = "а-яёәғқңөұүһіa-z"
@@ -34,25 +34,38 @@ def column(name: str):
 TEXT, TYPE, LANG, MENTIONS = column("text"), column("contract_type"), column("lang"), column("mentions")
 
 
+def role_forms(contract_type: str, language: str) -> tuple[str, dict[str, str]]:
+    """One pattern for all role nouns of a type's two parties, and what each of their forms says: role and case."""
+    alternatives, forms = [], {}
+    for role in TYPES[contract_type]:
+        for stem, endings in STEMS[language].get(role, ()):
+            ends = "|".join(sorted(filter(None, endings), key=len, reverse=True))
+            alternatives.append(f"{stem}(?:{ends})?")
+            forms |= {stem.replace(r"\s+", " ") + end: f"{role} {case}" for end, case in endings.items()}
+    return rf"(?<![{LETTERS}])(?:{'|'.join(alternatives)})(?![{LETTERS}])", forms
+
+
 def mentions() -> Column:
     """Role nouns of the contract's two parties in order of place; third parties of the same name are left out."""
     text, contract_type, lang = TEXT(), TYPE(), LANG()
     empty = F.array().cast(MENTION)
-    found = []
-    for language, stems in STEMS.items():
-        for role, own in stems.items():
-            for stem, endings in own:
-                ends = "|".join(sorted(filter(None, endings), key=len, reverse=True))
-                hits = spans(text, rf"(?<![{LETTERS}]){stem}(?:{ends})?(?![{LETTERS}])")
-                named = _named(stem, endings, role)
-                found.append(F.when((lang == language) & (contract_type == TYPE_OF[role]), F.transform(hits, named)).otherwise(empty))
-    known = F.filter(F.flatten(F.array(*found)), lambda m: m["gcase"].isNotNull() & ~has(before(text, m["start"], 30), THIRD_PARTY))
-    return F.coalesce(F.array_sort(known), empty)
 
-
-def _named(stem: str, endings: dict[str, str], role: str):
-    """A span of a role noun as a mention."""
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(role).alias("role"), lookup(endings, F.lower(F.regexp_replace(s["hit"], FLAGS + "^" + stem, ""))).alias("gcase"))
+    def named(forms: dict[str, str]):
+        def of(s: Column) -> Column:
+            said = lookup(forms, F.lower(F.regexp_replace(s["hit"], r"(?U)\s+", " ")))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring_index(said, " ", 1).alias("role"), F.substring_index(said, " ", -1).alias("gcase"))
+
+        return of
+
+    found = None
+    for t in TYPES:
+        for language in STEMS:
+            pattern, forms = role_forms(t, language)
+            here = (contract_type == t) & (lang == language)
+            value = F.transform(spans(text, pattern), named(forms))
+            found = F.when(here, value) if found is None else found.when(here, value)
+    known = F.filter(found.otherwise(empty), lambda m: m["gcase"].isNotNull() & ~has(before(text, m["start"], 30), THIRD_PARTY))
+    return F.coalesce(F.array_sort(known), empty)
 
 
 def mutual() -> Column:

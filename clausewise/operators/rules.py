@@ -7,6 +7,8 @@ risk a hit is (`against`) is matched with the reader's role afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,27 +278,42 @@ def held(df: DataFrame, **columns: Column) -> DataFrame:
     return made.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__held").getField(n).alias(n) for n in columns])
 
 
-def analysed(clauses: DataFrame) -> DataFrame:
-    """clauses (text, contract_type, lang) with what the rules share: mentions, percentages, durations, burden."""
-    a = held(clauses, mentions=parties.mentions(), percents=numbers.percents(TEXT()), durations=numbers.durations(TEXT()), mutual=parties.mutual())
-    caps = numbers.of_kind(F.col("percents"), "cap")
-    a = held(
-        a,
-        payers=parties.payers(),
-        rate=numbers.extreme(numbers.of_kind(F.col("percents"), "daily"), True),
-        fine=numbers.extreme(numbers.of_kind(F.col("percents"), "fine"), True),
-        cap=numbers.extreme(caps, True),
-        capped=(F.size(caps) > 0) | (has(TEXT(), numbers.PENALTY) & has(TEXT(), numbers.CAP_WORDS)),
-        notices=numbers.notices(TEXT(), DURATIONS()),
-        terms=numbers.terms(TEXT(), DURATIONS()),
-        months=numbers.months_amount(TEXT(), DURATIONS()),
-    )
-    return held(a, burden=parties.burden(F.col("payers"), F.col("mutual")))
+#: What each rule reads besides mentions and `mutual`.
+NEEDS: dict[Callable[[], Column], tuple[str, ...]] = {
+    daily_rate: ("rate", "cap", "capped", "burden"), single_fine: ("rate", "fine", "burden"), auto_renewal: ("notices",), lost_profit: ("burden",), unilateral_exit: ("notices",),
+    early_fee: ("burden", "months"), payment: ("terms",), acceptance: ("terms",),
+}
+SHARED = ("rate", "fine", "cap", "capped", "notices", "terms", "months", "burden")
+
+
+def analysed(clauses: DataFrame, needs: Iterable[str] = SHARED) -> DataFrame:
+    """clauses (text, contract_type, lang) with mentions, mutual, and of what rules share that which is needed."""
+    needs = set(needs)
+    first_ = {"mentions": parties.mentions, "mutual": parties.mutual}
+    if needs & {"rate", "fine", "cap", "capped"}:
+        first_["percents"] = lambda: numbers.percents(TEXT())
+    if needs & {"notices", "terms", "months"}:
+        first_["durations"] = lambda: numbers.durations(TEXT())
+    a = held(clauses, **{k: c() for k, c in first_.items()})
+    caps = lambda: numbers.of_kind(F.col("percents"), "cap")
+    then = {
+        "payers": parties.payers,
+        "rate": lambda: numbers.extreme(numbers.of_kind(F.col("percents"), "daily"), True),
+        "fine": lambda: numbers.extreme(numbers.of_kind(F.col("percents"), "fine"), True),
+        "cap": lambda: numbers.extreme(caps(), True),
+        "capped": lambda: (F.size(caps()) > 0) | (has(TEXT(), numbers.PENALTY) & has(TEXT(), numbers.CAP_WORDS)),
+        "notices": lambda: numbers.notices(TEXT(), DURATIONS()),
+        "terms": lambda: numbers.terms(TEXT(), DURATIONS()),
+        "months": lambda: numbers.months_amount(TEXT(), DURATIONS()),
+    }
+    wanted = {k: c() for k, c in then.items() if k in needs or (k == "payers" and "burden" in needs)}
+    a = held(a, **wanted) if wanted else a
+    return held(a, burden=parties.burden(F.col("payers"), F.col("mutual"))) if "burden" in needs else a
 
 
 def hits(clauses: DataFrame, rules=RULES) -> DataFrame:
     """clauses with hits: an array over all rules, in the rules' order."""
-    shared = analysed(clauses)
+    shared = analysed(clauses, [n for r in rules for n in NEEDS.get(r, ())])
     named = shared.select("*", *[F.coalesce(r(), NONE()).alias(f"__{r.__name__}") for r in rules])
     out = named.withColumn("hits", F.flatten(F.array(*[F.col(f"__{r.__name__}") for r in rules])))
     return out.select(*clauses.columns, "hits")

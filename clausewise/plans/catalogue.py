@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clausewise.dims import TYPE_OF, lookup
 from clausewise.functions import numbers, text
 from clausewise.operators import extraction, findings, measures, parties, retrieval, rules, segment
-from clausewise.plans import factory, learning, screening, shapes
+from clausewise.plans import factory, fields, learning, screening, shapes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +43,19 @@ def counted(each: DataFrame, at: int) -> DataFrame:
 
 
 def percent_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = factory.clauses(spark, sf_dir, "penalty.daily_rate").where("v = 1")
-    s = made.select("n", "p", numbers.percents(F.col("text")).alias("s"))
+    """The first daily rate and its place, the first cap, and the fines, of every line's penalty in all wordings."""
+    made = factory.clauses(spark, sf_dir, "penalty.daily_rate")
+    s = made.select("v", "n", "p", numbers.percents(F.col("text")).alias("s"))
     at = lambda k: F.get(numbers.of_kind(F.col("s"), k), F.lit(0))
-    return counted(s.select("n", "p", at("daily")["value"].alias("rate"), at("daily")["start"].cast("long").alias("rate_start"), at("cap")["value"].alias("cap"), F.size(numbers.of_kind(F.col("s"), "fine")).cast("long").alias("fines")), 2)
+    return counted(s.select("v", "n", "p", at("daily")["value"].alias("rate"), at("daily")["start"].cast("long").alias("rate_start"), at("cap")["value"].alias("cap"), F.size(numbers.of_kind(F.col("s"), "fine")).cast("long").alias("fines")), 3)
+
+
+def _rate_starts() -> str:
+    """Where the number stands that is each wording's rate, by counting in the wordings."""
+    return " ".join(f"WHEN v = {v} THEN {w[0].index('0,{p}') if '{p}' in w[0] else w[0].index('{n}')}" for v, w in enumerate(factory.WORDINGS["penalty.daily_rate"]))
 
 
-PERCENT_SQL = f"SELECT n, p, count(*) AS lines, CAST('0.' || p AS DOUBLE) AS rate, 36 AS rate_start, CAST(n AS DOUBLE) AS cap, 0 AS fines FROM (SELECT {factory.PARAMETERS_SQL} FROM lineitem) WHERE k % 5 = 1 GROUP BY n, p"
+PERCENT_SQL = f"SELECT v, n, p, count(*) AS lines, CASE WHEN v < 2 THEN CAST('0.' || p AS DOUBLE) ELSE CAST(n AS DOUBLE) END AS rate, CASE {_rate_starts()} END AS rate_start, CASE WHEN v = 1 THEN CAST(n AS DOUBLE) END AS cap, 0 AS fines FROM (SELECT k % 5 AS v, n, p FROM (SELECT {factory.PARAMETERS_SQL} FROM lineitem)) GROUP BY ALL"
 
 
 PERCENT_WORDINGS = [*factory.WORDINGS["penalty.daily_rate"], factory.WORDINGS["penalty.fine"][0], factory.WORDINGS["penalty.fine"][2]]
@@ -473,7 +479,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def more() -> dict[str, tuple]:
     """Queries of other modules: name -> (query, its SQL or None)."""
-    return shapes.QUERIES | learning.QUERIES | screening.queries()
+    return shapes.QUERIES | learning.QUERIES | screening.queries() | fields.QUERIES
 
 
 PLAIN = (

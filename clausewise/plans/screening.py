@@ -183,27 +183,70 @@ def knn_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 FALLBACK_SQL = "SELECT query_id, rank, ref_id, lang, round(score, 5) AS score FROM (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, ql AS lang, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 12) DESC, r.vec_id) AS rank FROM (SELECT *, CASE WHEN (vec_id // 100) % 4 = 1 THEN 'kk' ELSE 'ru' END AS ql FROM embeddings WHERE vec_id % 100 = 0) q JOIN embeddings r ON ql = CASE WHEN r.vec_id % 2 = 0 THEN 'ru' ELSE 'kk' END) WHERE rank <= 3"
 
 
+REFERENCE_PENALTY = "Сторона уплачивает пеню 0,1% за каждый день просрочки, но не более 10% суммы."
+
+
 def compared_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What differs between each line's penalty and a reference of 0,1 % a day, 10 % at most."""
-    ref = "Сторона уплачивает пеню 0,1% за каждый день просрочки, но не более 10% суммы."
-    rows = factory.clauses(spark, sf_dir, "penalty.daily_rate").where("v < 2").select("v", "n", "p", F.lit("penalty").alias("category"), "text", F.lit(ref).alias("reference_text"))
+    """What differs between each line's penalty, in all wordings, and a reference of 0,1 % a day, 10 % at most."""
+    rows = factory.clauses(spark, sf_dir, "penalty.daily_rate").select("v", "n", "p", F.lit("penalty").alias("category"), "text", F.lit(REFERENCE_PENALTY).alias("reference_text"))
     out = compare.with_differences(rows).select("v", "p", F.array_join("differences", " ").alias("differences"))
     return out.groupBy("v", "p", "differences").agg(F.count("*").alias("lines"))
 
 
-COMPARED_SQL = (
-    "SELECT v, p, differences, count(*) AS lines FROM (SELECT v, p, concat_ws(' ', CASE WHEN p NOT IN (0, 1, 10) THEN 'Пеня: у вас 0,' || p || '% в день, в эталоне 0,1%.' END, CASE WHEN v = 0 THEN 'Потолок неустойки: у вас нет, в эталоне 10%.' END) AS differences "
-    f"FROM (SELECT k % 5 AS v, n, p FROM (SELECT {factory.PARAMETERS_SQL} FROM lineitem)) WHERE v < 2) GROUP BY ALL"
-)
+_RATE = "CASE WHEN v < 2 THEN CASE WHEN p NOT IN (0, 1, 10) THEN 'Дневная пеня: 0,' || p || ' %, в образце 0,1 %.' END ELSE 'Дневная пеня: ' || n || ' %, в образце 0,1 %.' END"
+_CAP = "CASE WHEN v <> 1 THEN 'Предел неустойки: не установлен, в образце 10 %.' END"
+COMPARED_SQL = f"SELECT v, p, differences, count(*) AS lines FROM (SELECT v, p, concat_ws(' ', {_RATE}, {_CAP}) AS differences FROM (SELECT k % 5 AS v, n, p FROM (SELECT {factory.PARAMETERS_SQL} FROM lineitem))) GROUP BY ALL"
 
+#: (category, clause, reference, SQL of what differs), {n} from 1 to 50: a wording to a line's number.
+COMPARISONS: list[tuple[str, str, str, str]] = [
+    ("penalty", "Поставщик уплачивает штраф {n}% цены партии.", "Пеня 0,1% за каждый день просрочки.", "'Штраф: ' || n || ' %, в образце не предусмотрен.'"),
+    ("termination", "Арендодатель вправе расторгнуть договор, предупредив за {n} дней.", "Каждая из сторон вправе отказаться от договора, предупредив за 30 дней.", "concat_ws(' ', CASE WHEN n <> 30 THEN 'Уведомление: ' || n || ' дн., в образце 30 дн.' END, 'Кто может отказаться: одна сторона, в образце каждая сторона.')"),
+    ("auto_renewal", "Срок продлевается в любое время, {n}.", "Стороны могут отказаться, предупредив за 30 дней.", "'Уведомление: не нужно, в образце 30 дн. Кто может отказаться: одна сторона, в образце каждая сторона.'"),
+    ("payment", "Оплата производится в течение {n} дней.", "Оплата производится в течение 10 дней.", "CASE WHEN n <> 10 THEN 'Расчёты: ' || n || ' дн., в образце 10 дн.' ELSE '' END"),
+    ("payment", "Покупатель вносит 100% цены.", "Покупатель вносит аванс 30% цены.", "'Аванс: вся сумма, в образце 30 %, прочее после исполнения.'"),
+    ("unilateral_change", "Арендодатель вправе изменить ставку через {n} месяцев.", "Ставка изменяется по соглашению.", "'Изменение цены: одной стороной, в образце по соглашению.'"),
+    ("liability", "Подрядчик возмещает упущенную выгоду сверх неустойки.", "Упущенная выгода возмещению не подлежит, неустойка засчитывается.", "'Упущенная выгода: взыскивается, в образце не взыскивается. Неустойка и убытки: складываются, в образце неустойка идёт в зачёт.'"),
+    ("liability", "Арендодатель не несет ответственности за {n} часов.", "Стороны отвечают за убытки.", "'Ответственность: снята с одной стороны, в образце лежит на обеих.'"),
+    ("acceptance", "Претензии заявляются в течение {n} дней.", "Претензии заявляются в течение 10 дней.", "CASE WHEN n < 10 THEN 'Проверка и претензии: ' || n || ' дн., в образце 10 дн.' ELSE '' END"),
+    ("jurisdiction", "Споры рассматривает суд через {n} дней.", "Споры рассматривает суд по месту ответчика.", "''"),
+]
 
-def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quote of every document (its third to eighth word, white space doubled) in the document itself: where it stands."""
+
+def compared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between each line's clause and a reference, in every category that comparison knows, and one that it doesn't."""
+    made = factory.worded(factory.lines(spark, sf_dir).withColumn("v", F.pmod(F.col("k") + F.col("n"), F.lit(len(COMPARISONS)))), [(text, category, reference, "", "") for category, text, reference, _ in COMPARISONS])
+    rows = made.select("v", "n", F.col("contract_type").alias("category"), "text", F.col("lang").alias("reference_text"))
+    return compare.with_differences(rows).groupBy("v", "n", F.array_join("differences", " ").alias("differences")).agg(F.count("*").alias("lines"))
+
+
+TERMS_SQL = f"SELECT v, n, CASE {' '.join(f'WHEN v = {v} THEN {c[3]}' for v, c in enumerate(COMPARISONS))} END AS differences, count(*) AS lines FROM (SELECT (k + n) % {len(COMPARISONS)} AS v, n FROM (SELECT {factory.PARAMETERS_SQL} FROM lineitem)) GROUP BY ALL"
+
+
+def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quote for each document, by its number: of its own words, of another one's, with a letter changed, in capitals and «quotes», too short, with signs of a pattern."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(F.slice(words, 3, 6), "  ").alias("quote")).where(F.size(words) >= 8)
-    return rows.select("doc_id", extraction.place_of(F.col("quote"), F.col("text")).alias("place"), extraction.grounded(F.col("quote"), F.col("text")).alias("grounded")).select("doc_id", F.col("place").isNotNull().alias("found"), "grounded")
+    own = F.array_join(F.slice(words, F.greatest(F.least(F.lit(3), F.size(words) - 5), F.lit(1)), 6), "  ")
+    quote = (
+        F.when(F.col("doc_id") % 6 == 1, F.concat(F.lit("zq"), own, F.lit(" zqz"))).when(F.col("doc_id") % 6 == 2, F.concat(F.lit("«"), F.translate(own, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("».")))
+        .when(F.col("doc_id") % 6 == 3, "q").when(F.col("doc_id") % 6 == 4, F.concat(own, F.lit(" [a-z]+(.*)?$"))).when(F.col("doc_id") % 6 == 5, F.lit(None).cast("string")).otherwise(own)
+    )
+    return docs.where("text is not null").select("doc_id", "text", quote.alias("quote"))
 
 
+def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether and where each document's quote stands in it."""
+    rows = quoted(spark, sf_dir)
+    place = extraction.place_of(F.col("quote"), F.col("text"))
+    return rows.select("doc_id", place.isNotNull().alias("found"), F.coalesce(extraction.grounded(F.col("quote"), F.col("text")), F.lit(False)).alias("grounded"))
+
+
+_OWN = "array_to_string(list_slice(w, greatest(least(3, len(w) - 5), 1), greatest(least(3, len(w) - 5), 1) + 5), ' ')"
+GROUNDING_SQL = (
+    rf"""SELECT doc_id, doc_id % 6 IN (0, 2) AND length(regexp_replace({_OWN}, '^[ .,;:"''«»“”„]+|[ .,;:"''«»“”„]+$', '', 'g')) >= 3 AS found, doc_id % 6 IN (0, 2) AND length(regexp_replace({_OWN}, '^[\s.,;:''…-]+|[\s.,;:''…-]+$', '', 'g')) >= 3 AS grounded """
+    r"FROM (SELECT doc_id, regexp_extract_all(text, '[^\s]+') AS w FROM documents WHERE text IS NOT NULL)"
+)
+
 # --- assessment --------------------------------------------------------------
 
 
@@ -232,6 +275,6 @@ def queries() -> dict[str, tuple]:
     return {
         "licence_gate": (licence_gate, LICENCE_SQL), "balance_audit": (balance_audit, AUDIT_SQL), "coverage_audit": (coverage_audit, COVERAGE_SQL), "exact_leak_planted": (exact_leak_planted, LEAK_SQL), "findings_dedupe": (findings_dedupe, DEDUPE_SQL),
         "analysis_reports": (analysis_reports, _reports_sql()), "prf_strict": (prf_strict, STRICT_SQL), "level_confusion": (level_confusion, CONFUSION_SQL), "metric_bundle": (metric_bundle, BUNDLE_SQL), "hallucination_rate": (hallucination_rate, RATES_SQL),
-        "knn_fallback": (knn_fallback, FALLBACK_SQL), "compared_penalties": (compared_penalties, COMPARED_SQL), "quote_grounding": (quote_grounding, "SELECT doc_id, true AS found, true AS grounded FROM documents WHERE len(regexp_extract_all(text, '[^\\s]+')) >= 8"),
+        "knn_fallback": (knn_fallback, FALLBACK_SQL), "compared_penalties": (compared_penalties, COMPARED_SQL), "compared_terms": (compared_terms, TERMS_SQL), "quote_grounding": (quote_grounding, GROUNDING_SQL),
         "llm_mock": (llm_mock, None),
     }
