@@ -22,8 +22,8 @@ def default_role(contract_type: Column) -> Column:
 
 
 def parsed(documents: DataFrame) -> DataFrame:
-    """documents (doc_id, text) with title, clauses, warnings and the detected contract type."""
-    s = documents.withColumn("__s", segment.segmented()).select("*", "__s.title", "__s.warnings").drop("__s")
+    """documents (doc_id, text) with title, warnings and the detected contract type, and their clauses as an array."""
+    s = segment.segmented(documents).withColumnsRenamed({"__title": "title", "__warnings": "warnings"})
     return s.withColumn("detected_type", best_type(type_scores(F.col("text"), F.col("title"))))
 
 
@@ -46,12 +46,13 @@ def reports(documents: DataFrame, requests: DataFrame, keep, detect: Callable[[D
     keep() writes clauses and findings and reads them back: several parts of a report need them. The
     contract's type is that of the role, whatever the text looks like.
     """
-    clauses = keep(segment.clauses(documents))
+    read = keep(parsed(documents.select("doc_id", "text")).drop("text"))  # segmented once
+    clauses = segment.of_segmented(read, ["doc_id"])
     found = keep(explained(findings.ordered(detect(clauses, requests))))
     if references is not None:
         found = with_comparison(found, clauses, references)
     counts = clauses.groupBy("doc_id").agg(F.count("*").alias("clauses_total"), F.count_if(findings.analysable()).alias("clauses_analysed"))
-    seen = parsed(documents).select("doc_id", "title", "warnings", "detected_type").join(segment.document_language(clauses), "doc_id", "left").join(counts, "doc_id", "left")
+    seen = read.select("doc_id", "title", "warnings", "detected_type").join(segment.document_language(clauses), "doc_id", "left").join(counts, "doc_id", "left")
     texts = clauses.select("doc_id", "clause_id", F.col("text").alias("clause_text"))
     card = [c for c in found.columns if c not in ("doc_id", "party_role")]
     own = found.join(texts, ["doc_id", "clause_id"], "left").groupBy("doc_id", "party_role").agg(

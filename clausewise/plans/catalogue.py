@@ -119,7 +119,8 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = lines.select("l_orderkey", F.struct(i.alias("i"), body.alias("line")).alias("x")).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("body"))
     fm = F.when(F.col("l_orderkey") % 2 == 0, "3. ФОРС-МАЖОР\n3.1. Стороны освобождаются от ответственности при непреодолимой силе.\n").otherwise("")
     t = F.concat(F.lit("ДОГОВОР АРЕНДЫ № "), F.col("l_orderkey").cast("string"), F.lit("\nг. Алматы, 1 мая\n1. ПРЕДМЕТ ДОГОВОРА\n1.1. Арендодатель передает помещение.\n1.2. Помещение осмотрено.\n1.3. Срок указан в акте.\n2. ПЛАТА\n"), F.col("body"), F.lit("\n"), fm, F.lit("4. РЕКВИЗИТЫ СТОРОН\nАрендодатель:\nАрендатор:"))
-    return per.select(F.col("l_orderkey").alias("doc_id"), t.alias("text"))
+    # few bytes that cost much to read: not to be coalesced into one task
+    return per.select(F.col("l_orderkey").alias("doc_id"), t.alias("text")).repartition(3 * spark.sparkContext.defaultParallelism)
 
 
 def requests(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Contracts of several shapes, a shape to an order, with what their clauses must be: articles, Kazakh sections, an appendix, unnumbered headings, no numbers at all."""
+"""Contracts of several shapes, a shape to an order, with what their clauses must be: articles, Kazakh sections, an appendix, unnumbered headings, numbers that occur again, no numbers at all."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise.operators import segment
+from clausewise.plans import factory
 
 ROW = ("clause_id", "number", "level", "parent_id", "section_id", "section_title", "kind", "text")
 #: shape -> (text, clauses in order); {k} is a number of the order.
@@ -54,6 +55,17 @@ SHAPES: list[tuple[str, list[tuple]]] = [
             ("3", "3.", 1, None, "3", "ФОРС-МАЖОР", "clause", "Стороны освобождаются."),
         ],
     ),
+    (
+        "ДОГОВОР\n1. Предмет\n1.1. Раз {k}.\nПриложение № 1\n1. Снова {k}.\nПриложение № 1\n1. Ещё {k}.\n",
+        [
+            ("1", "1.", 1, None, "1", "Предмет", "heading", "Предмет"),
+            ("1.1", "1.1.", 2, "1", "1", "Предмет", "clause", "Раз {k}."),
+            ("прил1", None, 0, None, None, None, "heading", "Приложение № 1"),
+            ("прил1.1", "1.", 1, None, "прил1.1", "Приложение № 1", "clause", "Снова {k}."),
+            ("прил1~2", None, 0, None, None, None, "heading", "Приложение № 1"),
+            ("прил1.1~2", "1.", 1, None, "прил1.1", "Приложение № 1", "clause", "Ещё {k}."),
+        ],
+    ),
     ("Первый абзац\nо {k} вещах.\n\nВторой абзац.\n", [("p1", None, 1, None, None, None, "clause", "Первый абзац о {k} вещах."), ("p2", None, 1, None, None, None, "clause", "Второй абзац.")]),
 ]
 
@@ -61,7 +73,7 @@ SHAPES: list[tuple[str, list[tuple]]] = [
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS doc_id", f"cast(o_orderkey % {len(SHAPES)} as int) AS shape", "cast(o_orderkey % 89 + 10 as string) AS k")
     texts = F.array(*[F.lit(t) for t, _ in SHAPES])
-    return orders.select("doc_id", F.replace(texts[F.col("shape")], F.lit("{k}"), F.col("k")).alias("text"))
+    return factory.dealt(orders).select("doc_id", F.replace(texts[F.col("shape")], F.lit("{k}"), F.col("k")).alias("text"))
 
 
 def segment_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:

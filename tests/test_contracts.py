@@ -37,17 +37,21 @@ def test_spans_are_those_of_re(spark):
     assert got == {t: [m.span() for m in re.finditer(numbers.PERCENT, t, re.I)] for t in texts}
 
 
-@pytest.mark.parametrize(("last", "new", "ok"), [(None, (1,), True), (None, (4,), False), ((1,), (1, 1), True), ((1, 2), (1, 3), True), ((1, 2), (2,), True), ((1, 2), (2, 3), False), ((1, 2), (1, 1), False), ((3,), (6,), False)])
-def test_numbering(last, new, ok):
-    assert segment.continues(last, new) == ok
+NUMBERINGS = [(None, (1,), True), (None, (4,), False), ((1,), (1, 1), True), ((1, 2), (1, 3), True), ((1, 2), (2,), True), ((1, 2), (2, 3), False), ((1, 2), (1, 1), False), ((3,), (6,), False), ((1, 2), (1, 2), False), ((1,), (1, 2, 1), False), ((1, 1), (1, 1, 1), True), ((1, 9), (3,), True), ((2,), (3, 1), True), ((2,), (1,), False)]
 
 
-def test_segments():
-    s = segment.segment("ДОГОВОР АРЕНДЫ\n№ 15\nг. Алматы\n1. ПРЕДМЕТ\n1.1. Арендодатель передает\n15 (пятнадцать) помещений, см. п.\n5.3 акта.\n1.2. Срок:\n- год;\n2. РЕКВИЗИТЫ СТОРОН\nАрендатор")
-    assert s["title"] == "ДОГОВОР АРЕНДЫ № 15"
-    assert [(c["id"], c["kind"]) for c in s["clauses"]] == [("preamble", "preamble"), ("1", "heading"), ("1.1", "clause"), ("1.2", "clause"), ("2", "requisites")]
-    assert s["clauses"][2]["text"] == "Арендодатель передает 15 (пятнадцать) помещений, см. п. 5.3 акта."
-    assert segment.segment(None)["clauses"] == [] and len(segment.segment("Один абзац.\n\nДругой.")["clauses"]) == 2
+def test_numbering(spark):
+    df = spark.createDataFrame([(i, None if a is None else list(a), list(b)) for i, (a, b, _) in enumerate(NUMBERINGS)], "i int, last array<int>, new array<int>")
+    got = {r["i"]: r["ok"] for r in df.select("i", segment.follows(F.col("last"), F.col("new")).alias("ok")).collect()}
+    assert got == {i: ok for i, (_, _, ok) in enumerate(NUMBERINGS)}
+
+
+def test_segments(spark):
+    text = "ДОГОВОР АРЕНДЫ\n№ 15\nг. Алматы\n1. ПРЕДМЕТ\n1.1. Арендодатель передает\n15 (пятнадцать) помещений, см. п.\n5.3 акта.\n1.2. Срок:\n- год;\n2. РЕКВИЗИТЫ СТОРОН\nАрендатор"
+    s = segment.segmented(spark.createDataFrame([(text,)], "text string")).first()
+    assert s["__title"] == "ДОГОВОР АРЕНДЫ № 15"
+    assert [(c["id"], c["kind"]) for c in s["__clauses"]] == [("preamble", "preamble"), ("1", "heading"), ("1.1", "clause"), ("1.2", "clause"), ("2", "requisites")]
+    assert s["__clauses"][2]["text"] == "Арендодатель передает 15 (пятнадцать) помещений, см. п. 5.3 акта."
 
 
 def test_measures(spark):

@@ -201,7 +201,7 @@ def test_reports(spark, tmp_path):
     got = {(r["doc_id"], r["party_role"]): r for r in report.collect()}
     mine = got[1, "supplier"]
     assert mine["high"] == 1 and mine["findings"][0]["title"] == explain.TEXTS["penalty.daily_rate"][0] and mine["verdict"].startswith("Подписывать")
-    assert mine["findings"][0]["comparison"][0]["differences"] == ["Пеня: у вас 1% в день, в эталоне 0,1%.", "Потолок неустойки: у вас нет, в эталоне 10%."]
+    assert mine["findings"][0]["comparison"][0]["differences"] == ["Дневная пеня: 1 %, в образце 0,1 %.", "Предел неустойки: не установлен, в образце 10 %."]
     assert "Поставка" in got[1, "tenant"]["warnings"][0] and got[2, "buyer"]["clauses_analysed"] == 0 and len(got[2, "buyer"]["warnings"]) == 2
     assert json.loads(analyzer.json(report).where("doc_id = 1 and party_role = 'supplier'").first()["json"])["high"] == 1
 
@@ -210,13 +210,31 @@ def test_every_rule_is_explained():
     assert set(factory.WORDINGS) <= set(explain.TEXTS)
 
 
-@pytest.mark.parametrize("shape", range(len(shapes.SHAPES)))
-def test_shapes(shape):
-    text, want = shapes.SHAPES[shape]
-    got = segment.segment(text)["clauses"]
-    assert [(c["id"], *[c[k] for k in shapes.ROW[1:]]) for c in got] == want
-    for c in got:
-        assert text[c["start"] : c["end"]].strip().startswith((c["number"] or c["text"])[:5])
+def segmented(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    return [r.asDict(recursive=True) for r in segment.segmented(df).orderBy("id").collect()]
+
+
+def test_shapes(spark):
+    texts = [t.replace("{k}", "15") for t, _ in shapes.SHAPES]
+    for text, (_, want), got in zip(texts, shapes.SHAPES, segmented(spark, texts), strict=True):
+        assert [(c["id"], *[c[k] for k in shapes.ROW[1:]]) for c in got["__clauses"]] == [tuple(x.replace("{k}", "15") if isinstance(x, str) else x for x in w) for w in want]
+        for c in got["__clauses"]:
+            assert text[c["start"] : c["end"]].strip().startswith((c["number"] or c["text"])[:5])
+
+
+def test_segments_at_the_edges(spark):
+    texts = ["ДОГОВОР АРЕНДЫ\n№ 15\nг. Алматы\n1. ПРЕДМЕТ\n1.1. Арендодатель передает\n15 (пятнадцать) помещений, см. п.\n5.3 акта.\n1.2. Срок:\n- год;\n2. РЕКВИЗИТЫ СТОРОН\nАрендатор", None, "Один абзац.\n\nДругой.", " \n\t\n", "ДОГОВОР\n1. Предмет\n1.1. Раз.\nПРИЛОЖЕНИЕ 1\n1. Предмет\n1.1. Два.\nПриложение № 1\n1. Снова\n1.1. Три.", "\tПервый \nабзац  \n \nи второй\n"]
+    got = segmented(spark, texts)
+    first = got[0]
+    assert first["__title"] == "ДОГОВОР АРЕНДЫ № 15" and [c["id"] for c in first["__clauses"]] == ["preamble", "1", "1.1", "1.2", "2"]
+    assert first["__clauses"][2]["text"].endswith("5.3 акта.") and first["__clauses"][3]["text"] == "Срок:\n- год;" and first["__clauses"][4]["kind"] == "requisites"
+    assert got[1]["__clauses"] == got[3]["__clauses"] == [] and len(got[2]["__clauses"]) == 2 and got[2]["__warnings"] == [segment.UNNUMBERED]
+    assert [c["id"] for c in got[4]["__clauses"]] == ["1", "1.1", "прил1", "прил1.1", "прил1.1.1", "прил1~2", "прил1.1~2", "прил1.1.1~2"]
+    assert got[4]["__warnings"] == [f"number {i} occurs again: {i}~2" for i in ("прил1", "прил1.1", "прил1.1.1")]
+    assert [(c["start"], c["end"], c["text"]) for c in got[5]["__clauses"]] == [(1, 14, "Первый абзац"), (19, 27, "и второй")]
+    long = segmented(spark, ["ДОГОВОР\n" + "\n".join(f"{i}. Пункт номер {i} договора сторон, которые согласны во всём." for i in range(1, 400))])[0]
+    assert len(long["__clauses"]) == 399 and long["__clauses"][-1]["id"] == "399"
 
 
 def test_hashed_vectors(spark):
