@@ -157,11 +157,18 @@ def content_hash(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return parts.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", "h"))), ""), 256), 1, 16).alias("hash"))
 
 
+def quoted(value: Column) -> Column:
+    """A value as a scalar that is read back as the same text, whatever it looks like (1.10, yes, a: b); null as null."""
+    return F.coalesce(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(value.cast("string"), r'([\\"])', r"\\$1"), "\n", r"\\n"), F.lit('"')), F.lit("null"))
+
+
 def dump_labels(docs: DataFrame, gold: DataFrame) -> DataFrame:
-    """(doc_id, yaml): labels as text that is the same for the same labels: fixed order of keys, findings by clause, category and level."""
-    line = F.concat(F.lit("- {clause: "), F.coalesce("clause", F.lit("null")), F.lit(", category: "), F.col("category"), F.lit(", level: "), F.col("level"), F.lit("}"))
+    """(doc_id, yaml): labels as text that is the same for the same labels: fixed order of keys, findings by clause, category and level; all scalars quoted."""
+    kept = [c for c in ("clause", "category", "level", "trap_id", "note") if c in gold.columns]
+    fields = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), quoted(F.col(c))) for c in kept if c in ("clause", "category", "level")], *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), quoted(F.col(c)))) for c in kept if c in ("trap_id", "note")])
+    line = F.concat(F.lit("- {"), fields, F.lit("}"))
     rows = gold.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clause", "category", "level", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    head = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.col(c)) for c in ("doc_id", "contract_type", "language", "party_role", "origin")])
+    head = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), quoted(F.col(c))) for c in ("doc_id", "contract_type", "language", "party_role", "origin")])
     body = F.when(F.col("lines").isNull(), "findings: []").otherwise(F.concat(F.lit("findings:\n"), F.col("lines")))
     return docs.join(rows, "doc_id", "left").select("doc_id", F.concat(head, F.lit("\n"), body, F.lit("\n")).alias("yaml"))
 

@@ -100,6 +100,18 @@ def test_split(spark, tmp_path):
     assert corpus.dump_labels(docs, gold).first()["yaml"].count("category") == 2
 
 
+def test_labels_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "lease", "ru", "tenant", "real: yes"), ("d2", "supply", "kk", "buyer", None)], "doc_id string, contract_type string, language string, party_role string, origin string")
+    gold = spark.createDataFrame([("d1", "1.10", "penalty", "high", None, 'a "b": {c}\n# d'), ("d1", "1.1", "penalty", "low", "t1", None), ("d1", None, "liability", "low", None, "true")], "doc_id string, clause string, category string, level string, trap_id string, note string")
+    for r in corpus.dump_labels(docs, gold).collect():
+        (tmp_path / f"{r['doc_id']}.yaml").write_text(r["yaml"], encoding="utf-8")
+        (tmp_path / f"{r['doc_id']}.txt").write_text("ДОГОВОР", encoding="utf-8")
+    back, labels = corpus.load_split(spark, str(tmp_path))
+    columns = gold.columns
+    assert sorted(map(str, labels.select(*columns).collect())) == sorted(map(str, gold.collect()))
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
 def test_store(spark, tmp_path):
     store = vectors.Store(spark, str(tmp_path / "v"), "hashing", "1")
     rows = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [1.0, 0.0])], "id string, vector array<double>")
