@@ -5,7 +5,6 @@ from __future__ import annotations
 import zipfile
 from collections.abc import Iterator
 from typing import Protocol
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,27 +34,32 @@ class Pages(Protocol):
     def pages(self, data: bytes, kind: str) -> list[str]: ...
 
 
-def load(data: bytes, kind: str | None, prefer: str = "ru") -> tuple[str | None, list[str]]:
+def load(data: bytes, kind: str | None) -> tuple[str | None, tuple[str | None, str | None, str | None] | None, list[str]]:
+    """A file's text, or the XML of a word-processor file's parts; and warnings."""
     try:
         if kind == "txt":
-            return plain(data)
+            text, warnings = plain(data)
+            return text, None, warnings
         if kind == "docx":
-            return word.read(data, prefer)
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-        return None, [f"unreadable: {e}"]
-    return None, ["needs a reader of its own" if kind else "unsupported format"]
+            return None, word.parts(data), []
+    except (zipfile.BadZipFile, KeyError) as e:
+        return None, None, [f"unreadable: {e}"]
+    return None, None, ["needs a reader of its own" if kind else "unsupported format"]
 
 
 def read(spark: SparkSession, path: str, prefer: str = "ru") -> DataFrame:
     """(doc_id, path, source_format, text, warnings) of all files below a path; unreadable ones keep a null text and a warning."""
 
-    @F.pandas_udf("text string, warnings array<string>")
+    @F.pandas_udf("text string, document string, numbering string, styles string, warnings array<string>")
     def loaded(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for contents, kinds in it:
-            yield pd.DataFrame([load(c, k, prefer) for c, k in zip(contents, kinds, strict=True)], columns=["text", "warnings"])
+            rows = [load(c, k) for c, k in zip(contents, kinds, strict=True)]
+            yield pd.DataFrame([(t, *(parts or (None, None, None)), w) for t, parts, w in rows], columns=["text", *word.PARTS, "warnings"])
 
     r = contents(spark, path).withColumn("r", loaded("content", "source_format"))
-    return r.select("doc_id", "path", "source_format", normalized(F.col("r.text")).alias("text"), "r.warnings")
+    files = r.select("doc_id", "path", "source_format", F.struct("r.text", "r.warnings").alias("own"), *[f"r.{c}" for c in word.PARTS])
+    read = word.texts(files, prefer)
+    return read.select("doc_id", "path", "source_format", normalized(F.coalesce("own.text", "text")).alias("text"), F.concat("own.warnings", "warnings").alias("warnings"))
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:

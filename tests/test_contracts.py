@@ -124,4 +124,4 @@ def test_similar_texts_and_json(spark):
 
 def test_files():
     assert files.plain("Договор".encode("cp1251")) == ("Договор", ["not UTF-8: read as cp1251"])
-    assert files.load(b"x", "docx")[0] is None and files.load(b"x", None) == (None, ["unsupported format"])
+    assert files.load(b"x", "docx")[0] is None and files.load(b"x", None) == (None, None, ["unsupported format"])

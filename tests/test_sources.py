@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -40,24 +41,95 @@ LISTS = (
 )
 
 
-def test_word_numbers():
-    styles = f'<w:style w:styleId="A"><w:basedOn w:val="B"/></w:style><w:style w:styleId="B">{"<w:pPr><w:numPr><w:ilvl w:val=%s/><w:numId w:val=%s/></w:numPr></w:pPr>" % (chr(34) + "1" + chr(34), chr(34) + "1" + chr(34))}</w:style>'
-    text, _ = word.read(docx(p("Предмет", "1") + p("Раз", "1", 1) + p("Два", style="A") + p("Цена", "1") + p("Три", "1", 1) + p("пункт", "2") + p("Снова", "3") + p("") + p("Просто"), LISTS, styles))
-    assert text.split("\n") == ["I. Предмет", "1.1. Раз", "1.2. Два", "II. Цена", "2.1. Три", "• пункт", "V. Снова", "", "Просто"]
-    assert [word.numbered(n, f) for n, f in ((27, "lowerLetter"), (28, "upperLetter"), (11, "russianLower"), (30, "russianUpper"), (1994, "lowerRoman"), (7, "decimalZero"), (7, "odd"))] == ["aa", "BB", "л", "ББ", "mcmxciv", "07", "7"]
+def table(*rows):
+    return "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{c if c.startswith('<') else p(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
+
 
+def read_word(spark, *contents, prefer="ru"):
+    """(text, warnings) of each file, in order."""
+    rows = [(i, *word.parts(c)) for i, c in enumerate(contents)]
+    got = word.texts(spark.createDataFrame(rows, "path int, document string, numbering string, styles string"), prefer)
+    return [(r["text"], r["warnings"]) for r in got.orderBy("path").collect()]
 
-def test_word_tables():
-    def table(*rows):
-        return "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
 
-    assert word.read(docx(table(("Товар", "Цена", "Срок"), ("Итого",))))[0] == "Товар | Цена | Срок\nИтого"
+def test_word_numbers(spark):
+    styles = f'<w:style w:styleId="A"><w:basedOn w:val="B"/></w:style><w:style w:styleId="B">{"<w:pPr><w:numPr><w:ilvl w:val=%s/><w:numId w:val=%s/></w:numPr></w:pPr>" % (chr(34) + "1" + chr(34), chr(34) + "1" + chr(34))}</w:style><w:style w:styleId="C"><w:basedOn w:val="C"/></w:style>'
+    one = docx(p("Предмет", "1") + p("Раз", "1", 1) + p("Два", style="A") + p("Цена", "1") + p("Три", "1", 1) + p("пункт", "2") + p("Снова", "3") + p("") + p("Просто"), LISTS, styles)
+    odd = docx(p("круг", style="C") + p("нет", style="Z") + p("нет списка", "9") + p("нет уровня", "1", 7) + p("ноль", "0") + p("", "1") + p("Раз", "1"), LISTS, styles)
+    (text, _), (other, _) = read_word(spark, one, odd)
+    assert text.split("\n") == ["I. Предмет", "1.1. Раз", "1.2. Два", "II. Цена", "2.1. Три", "• пункт", "V. Снова", "", "Просто"]
+    assert other.split("\n") == ["круг", "нет", "нет списка", "нет уровня", "ноль", "", "I. Раз"]
+    forms = [(27, "lowerLetter"), (28, "upperLetter"), (11, "russianLower"), (30, "russianUpper"), (1994, "lowerRoman"), (7, "decimalZero"), (7, "odd"), (104, "decimalZero")]
+    got = spark.createDataFrame([(i, *f) for i, f in enumerate(forms)], "i int, n int, f string").orderBy("i").select(word.numbered(F.col("n"), F.col("f")))
+    assert [r[0] for r in got.collect()] == ["aa", "BB", "л", "ББ", "mcmxciv", "07", "7", "104"]
+
+
+def test_word_tables(spark):
     both = docx(table(("Жалға алушы төлейді өсімпұл", "Арендатор уплачивает пеню"), ("Жеткізуші өнімді береді", "Поставщик передает товар")))
-    assert word.read(both, "ru")[0] == "Арендатор уплачивает пеню\nПоставщик передает товар"
-    text, warnings = word.read(both, "kk")
+    goes_on = f'<w:tcPr><w:vMerge/></w:tcPr>{p("выше", "1")}'
+    begins = f'<w:tcPr><w:vMerge w:val="restart"/></w:tcPr>{p("Слева")}'
+    nested = p("Внешняя") + table(("внутренняя",))
+    plain, *_ = read_word(spark, docx(table(("Товар", "Цена", "Срок"), ("Итого",))))
+    assert plain == ("Товар | Цена | Срок\nИтого", [])
+    ru, cells, inner = read_word(spark, both, docx(p("Раз", "1") + table((begins, "A", "1"), (goes_on, p("B") + p("C", "1"), "2"), ("", "", "")) + p("Два", "1"), LISTS), docx(table((nested, "рядом", "ещё"))))
+    assert ru[0] == "Арендатор уплачивает пеню\nПоставщик передает товар" and len(ru[1]) == 1
+    assert cells[0].split("\n") == ["I. Раз", "Слева | A | 1", "B II. C | 2", "III. Два"]
+    assert inner[0] == "Внешняя | рядом | ещё"
+    [(text, warnings)] = read_word(spark, both, prefer="kk")
     assert text.startswith("Жалға алушы") and len(warnings) == 1
 
 
+def test_word_runs_and_edges(spark):
+    run = "<w:r><w:t>{}</w:t></w:r>".format
+    box = f'<w:r><w:txbxContent>{p("в рамке")}</w:txbxContent></w:r>'
+    body = f'<w:p><w:pPr><w:tabs><w:tab w:val="left"/></w:tabs><w:pPrChange><w:pPr><w:numPr><w:numId w:val="1"/></w:numPr></w:pPr></w:pPrChange></w:pPr>{run("a &amp;lt; &#1040;&#x41;")}<w:r><w:tab/><w:br/></w:r>{box}<!-- <w:t>x</w:t> --><w:ins>{run("<![CDATA[<b>]]>")}</w:ins><w:del><w:r><w:delText>нет</w:delText></w:r></w:del></w:p><w:p/><w:sdt><w:sdtContent>{p("в поле")}</w:sdtContent></w:sdt>{p("конец")}'
+    other = docx(p("свой"))
+    with zipfile.ZipFile(io.BytesIO(other)) as z:
+        document = z.read("word/document.xml").decode()
+    rows = [(0, *word.parts(docx(body, LISTS)), "x"), (1, document.replace("w:", "ns0:").replace("xmlns:w=", "xmlns:ns0="), None, None, "y"), (2, None, None, None, None), (3, *word.parts(docx("")), "z"), (4, "<w:p>", None, None, "bad"), (None, document, None, None, "null key"), (0, document, "<no", None, "bad list")]
+    files_ = spark.createDataFrame(rows, "path int, document string, numbering string, styles string, text_of string").withColumnRenamed("text_of", "pos").withColumn("token", F.lit(1))
+    got = {r["pos"]: r for r in word.texts(files_).collect()}
+    assert len(got) == len(rows)
+    assert got["x"]["text"] == "a &lt; АA\t\n<b>\n\nконец"
+    assert [got[k]["text"] for k in ("y", None, "z", "bad", "null key", "bad list")] == ["свой", None, "", None, "свой", None]
+    assert got["bad"]["warnings"] == got["bad list"]["warnings"] == [word.UNREADABLE] and got["x"]["warnings"] == [] and got["z"]["token"] == 1
+    assert word.texts(files_.limit(0)).count() == 0
+
+
+def shown_by_scanning(paragraphs, starts, again):
+    """Numbers of (list, depth) paragraphs by looking back for each: the definition, in quadratic time."""
+    abstract = {"1": "A", "2": "A", "3": "B"}
+    begins = {i for i, (n, _) in enumerate(paragraphs) if again.get(n) and n not in [m for m, _ in paragraphs[:i]]}
+
+    def number(i, d):
+        n = paragraphs[i][0]
+        mine = []
+        for j in range(i, -1, -1):
+            if abstract[paragraphs[j][0]] != abstract[n]:
+                continue
+            if paragraphs[j][1] == d:
+                mine.append(j)
+            if paragraphs[j][1] < d or j in begins:
+                break
+        at = paragraphs[mine[-1]][0] if mine else n
+        return again.get(at, {}).get(d, starts[abstract[n]][d]) + max(0, len(mine) - 1)
+
+    return [".".join(str(number(i, d)) for d in range(depth + 1)) for i, (_, depth) in enumerate(paragraphs)]
+
+
+def test_word_counts_by_brute_force(spark):
+    rnd = random.Random(5)
+    starts = {"A": [1, 1, 3], "B": [2, 0, 1]}
+    again = {"2": {0: 4, 2: 7}}
+    levels = {a: "".join(f'<w:lvl w:ilvl="{d}"><w:start w:val="{s}"/><w:lvlText w:val="{".".join(f"%{k + 1}" for k in range(d + 1))}"/></w:lvl>' for d, s in enumerate(v)) for a, v in starts.items()}
+    lists = "".join(f'<w:abstractNum w:abstractNumId="{a}">{v}</w:abstractNum>' for a, v in levels.items())
+    lists += "".join(f'<w:num w:numId="{n}"><w:abstractNumId w:val="{a}"/>{"".join(f"""<w:lvlOverride w:ilvl="{d}"><w:startOverride w:val="{s}"/></w:lvlOverride>""" for d, s in again.get(n, {}).items())}</w:num>' for n, a in (("1", "A"), ("2", "A"), ("3", "B")))
+    cases = [[(rnd.choice("112233"), rnd.randrange(3)) for _ in range(rnd.randrange(1, 25))] for _ in range(60)]
+    got = read_word(spark, *[docx("".join(p(f"т{i}", n, d) for i, (n, d) in enumerate(c)), lists) for c in cases])
+    for case, (text, _) in zip(cases, got, strict=True):
+        assert text.split("\n") == [f"{n} т{i}" for i, n in enumerate(shown_by_scanning(case, starts, again))]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("Договор аренды".encode("cp1251"))
     (tmp_path / "b.docx").write_bytes(docx(p("Текст")))
