@@ -86,10 +86,11 @@ def test_word_runs_and_edges(spark):
     other = docx(p("свой"))
     with zipfile.ZipFile(io.BytesIO(other)) as z:
         document = z.read("word/document.xml").decode()
-    rows = [(0, *word.parts(docx(body, LISTS)), "x"), (1, document.replace("w:", "ns0:").replace("xmlns:w=", "xmlns:ns0="), None, None, "y"), (2, None, None, None, None), (3, *word.parts(docx("")), "z"), (4, "<w:p>", None, None, "bad"), (None, document, None, None, "null key"), (0, document, "<no", None, "bad list")]
+    rows = [(0, *word.parts(docx(body, LISTS)), "x"), (1, document.replace("w:", "ns0:").replace("xmlns:w=", "xmlns:ns0="), None, None, "y"), (2, None, None, None, None), (3, *word.parts(docx("")), "z"), (4, "<w:p>", None, None, "bad"), (None, document, None, None, "null key"), (0, document, "<no", None, "bad list"), (5, document, None, None, "twice"), (5, document, None, None, "twice")]
     files_ = spark.createDataFrame(rows, "path int, document string, numbering string, styles string, text_of string").withColumnRenamed("text_of", "pos").withColumn("token", F.lit(1))
-    got = {r["pos"]: r for r in word.texts(files_).collect()}
-    assert len(got) == len(rows)
+    all_ = word.texts(files_).collect()
+    got = {r["pos"]: r for r in all_}
+    assert len(all_) == len(rows) and [r["text"] for r in all_ if r["pos"] == "twice"] == ["свой", "свой"]
     assert got["x"]["text"] == "a &lt; АA\t\n<b>\n\nконец"
     assert [got[k]["text"] for k in ("y", None, "z", "bad", "null key", "bad list")] == ["свой", None, "", None, "свой", None]
     assert got["bad"]["warnings"] == got["bad list"]["warnings"] == [word.UNREADABLE] and got["x"]["warnings"] == [] and got["z"]["token"] == 1
