@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,12 +63,36 @@ def coverage(gold: DataFrame, clauses: DataFrame) -> DataFrame:
     return g.agg(F.lit(hit).alias("found"), F.count("*").alias("all"))
 
 
+def resampled(rows: DataFrame, values: list[str], times: int = 1000, seed: int = 13) -> DataFrame:
+    """(resample, n, sums of `values`) over resamples of the rows, in one pass: each row counts a Poisson(1) number of times.
+
+    Equal rows are drawn together: m of them count Poisson(m) times, which is what m single draws add up
+    to. A draw is seeded by the values, so it is the same however the rows are dealt. A task sums its own
+    draws, so what is shuffled is the distinct rows and `times` rows a task. Null values count as 0.
+    """
+    groups = rows.select(*[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values]).groupBy(*values).agg(F.count("*").alias("n"))
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((times, 1 + len(values)))
+        for batch in batches:
+            for n, *own in batch[["n", *values]].itertuples(index=False):
+                key = np.array(own, dtype=np.float64).view(np.uint64)
+                weights = np.random.default_rng([seed, *map(int, key)]).poisson(n, times)
+                sums += np.outer(weights, [1.0, *own])
+        yield pd.DataFrame({"resample": np.arange(times), **{c: sums[:, i] for i, c in enumerate(["n", *values])}})
+
+    parts = groups.mapInPandas(drawn, "resample long, " + ", ".join(f"{c} double" for c in ["n", *values]))
+    return parts.groupBy("resample").agg(*[F.sum(c).alias(c) for c in ["n", *values]])
+
+
+def poisson_interval(counts: DataFrame, low: float = 0.025, high: float = 0.975, times: int = 1000, seed: int = 13) -> DataFrame:
+    """counts (tp, fp, fn) of each document: as `interval`, by `resampled` in place of draws."""
+    return bounds(resampled(counts, ["tp", "fp", "fn"], times, seed), low, high)
+
+
 def macro_interval(accuracies: DataFrame, times: int = 1000, seed: int = 13) -> DataFrame:
-    """accuracies (pos, accuracy) by document: the mean's bounds over resamples of documents."""
-    n = accuracies.count()
-    spark = accuracies.sparkSession
-    draws = spark.range(times).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("j")).select("resample", F.pmod(F.xxhash64("resample", "j", F.lit(seed)), F.lit(max(1, n))).alias("pos"))
-    means = draws.join(accuracies, "pos").groupBy("resample").agg(F.avg("accuracy").alias("m"))
+    """accuracies (accuracy) by document: the mean's bounds over resamples of documents; null without any."""
+    means = resampled(accuracies.where("accuracy is not null"), ["accuracy"], times, seed).select(F.try_divide("accuracy", "n").alias("m"))
     return means.agg(*[F.bround(F.percentile("m", q), 4).alias(name) for q, name in ((0.025, "low"), (0.975, "high"))])
 
 
@@ -93,8 +120,12 @@ def interval(counts: DataFrame, draws: DataFrame, low: float = 0.025, high: floa
 
     Undefined precision and recall of a resample are left out; its F1 is then 0 and counts.
     """
-    s = draws.join(counts, "pos").groupBy("resample").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    s = s.select(*prf(F.col("tp"), F.col("fp"), F.col("fn"))).withColumn("f1", F.coalesce("f1", F.lit(0.0)))
+    return bounds(draws.join(counts, "pos").groupBy("resample").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]), low, high)
+
+
+def bounds(sums: DataFrame, low: float, high: float) -> DataFrame:
+    """sums (tp, fp, fn) of each resample: bounds of their precision, recall and F1."""
+    s = sums.select(*prf(F.col("tp"), F.col("fp"), F.col("fn"))).withColumn("f1", F.coalesce("f1", F.lit(0.0)))
     return s.agg(*[F.bround(F.percentile(m, q), 4).alias(f"{m}_{name}") for m in ("precision", "recall", "f1") for q, name in ((low, "low"), (high, "high"))])
 
 

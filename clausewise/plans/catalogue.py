@@ -399,6 +399,13 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.interval(pos, draws)
 
 
+def bootstrap_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bounds by Poisson counts: one pass over the documents, nothing numbered or joined a thousand times."""
+    found = measures.outcomes(*gold_and_predicted(spark, sf_dir), ["doc_id"])
+    counts = table(spark, sf_dir, "labels").select("doc_id").distinct().join(found, "doc_id", "left")
+    return measures.poisson_interval(counts)
+
+
 BOOTSTRAP_SQL = (
     f"WITH c AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM (SELECT DISTINCT doc_id FROM labels) LEFT JOIN ({OUTCOME_SQL}) USING (doc_id)), "
     f"d AS (SELECT r, {drawn('r', 'j', 'n')} AS pos FROM (SELECT r, pos AS j, (SELECT count(*) FROM c) AS n FROM range(1000) t(r), c)), "
@@ -485,7 +492,7 @@ def more() -> dict[str, tuple]:
 
 PLAIN = (
     percent_spans, percent_spans_all, duration_days, party_payers, segment_contracts, doc_force_majeure_missing, doc_liability_one_sided, report_order, normalize_lines, letter_share_language, type_scores, page_offsets, clause_page, repeated_lines,
-    wording_signature, wording_signature_documents, pii_redaction_counts, cache_hit_miss, json_recover, shingle_jaccard, exact_leak, coverage_gap, balance_table, prf_detection, prf_slices, clean_false_alarms, threshold_sweep, bootstrap_ci, latest_run_per_model,
+    wording_signature, wording_signature_documents, pii_redaction_counts, cache_hit_miss, json_recover, shingle_jaccard, exact_leak, coverage_gap, balance_table, prf_detection, prf_slices, clean_false_alarms, threshold_sweep, bootstrap_ci, bootstrap_one_pass, latest_run_per_model,
     highlight_merge, corpus_hash, extraction_compare, cost_per_100, latency_quantiles,
 )
 
