@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clausewise.dims import TYPE_OF, lookup
 from clausewise.functions import numbers, text
 from clausewise.operators import extraction, findings, measures, parties, retrieval, rules, segment
-from clausewise.plans import drafts, factory, fields, indexed, learning, papers, screening, shapes
+from clausewise.plans import drafts, factory, fields, indexed, learning, papers, runs, screening, shapes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -487,7 +487,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def more() -> dict[str, tuple]:
     """Queries of other modules: name -> (query, its SQL or None)."""
-    return shapes.QUERIES | learning.QUERIES | screening.queries() | fields.QUERIES | papers.QUERIES | drafts.QUERIES | indexed.queries()
+    return shapes.QUERIES | learning.QUERIES | screening.queries() | fields.QUERIES | papers.QUERIES | drafts.QUERIES | indexed.queries() | runs.QUERIES
 
 
 PLAIN = (
