@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from clausewise.operators.retrieval import normalized
 
 #: What goes to every worker at most: the centres, as doubles.
 CENTRE_BYTES = 32_000_000
@@ -27,6 +27,18 @@ def usable(side: DataFrame) -> DataFrame:
     return side.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.coalesce(finite, F.lit(False)))
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors at length one, zeros as they are."""
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+
+
+def known_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each combination of the keys its cells, with how many they hold and how far from the centre."""
+    each = rows.groupBy(*keys, "cell").agg(F.count("*").alias("n"), F.min("__away").alias("low"), F.max("__away").alias("high"))
+    return each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cell", "n", "low", "high"))).alias("cells"))
+
+
 def centres_of(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """k-means: means of the vectors nearest to each centre; a centre that none is nearest to stays."""
     centres = sample[np.random.default_rng(seed).permutation(len(sample))[:cells]].copy()
@@ -77,45 +89,46 @@ class Cells:
     def build(references: DataFrame, same: list[str] | None = None, cells: int | None = None) -> Cells:
         """Centres are fitted on FITTED vectors a cell at most, those with the smallest hashes of their ids; every reference is indexed. cells: about the square root of the number of references, unless told."""
         keys, spark = same or [], references.sparkSession
-        unit = usable(references).withColumn("__v", normalized(F.col("vector"))).drop("vector")
-        pointed = F.exists("__v", lambda x: x != 0)
-        size = unit.agg(F.count_if(pointed).alias("n"), F.max(F.size("__v")).alias("width")).first()
+        good = usable(references)
+        pointed = F.exists("vector", lambda x: x != 0)
+        size = good.agg(F.count_if(pointed).alias("n"), F.max(F.size("vector")).alias("width")).first()
         n, width = size["n"], size["width"] or 1
         most = max(1, CENTRE_BYTES // (8 * width))
         cells = min(cells or int(np.ceil(np.sqrt(n))) or 1, most, max(n, 1))
-        drawn = unit.where(pointed).select("ref_id", "__v").orderBy(F.xxhash64("ref_id"), "ref_id").limit(min(cells * FITTED, max(most, cells))).collect()
-        sample = np.array([r["__v"] for r in drawn], dtype=np.float64).reshape(-1, width)
+        drawn = good.where(pointed).select("ref_id", "vector").orderBy(F.xxhash64("ref_id"), "ref_id").limit(min(cells * FITTED, max(most, cells))).collect()
+        sample = unit(np.array([r["vector"] for r in drawn], dtype=np.float64).reshape(-1, width))
         centres = centres_of(sample, cells) if len(sample) else np.zeros((1, width))
-        return Cells.dealt(unit, centres, keys, spark)
+        return Cells.dealt(good, centres, keys, spark)
 
     @staticmethod
-    def dealt(unit: DataFrame, centres: np.ndarray, keys: list[str], spark: SparkSession) -> Cells:
+    def dealt(references: DataFrame, centres: np.ndarray, keys: list[str], spark: SparkSession) -> Cells:
         sent = spark.sparkContext.broadcast(centres)
 
-        @F.pandas_udf("struct<cell:int,away:double>")
+        @F.pandas_udf("struct<v:array<double>,cell:int,away:double>")
         def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for vectors in batches:
-                m = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+                m = unit(np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1))
                 own, away = nearest_centre(m, sent.value)
-                yield pd.DataFrame({"cell": np.where((m != 0).any(1), own, NOWHERE), "away": away})
+                yield pd.DataFrame({"v": list(m), "cell": np.where((m != 0).any(1), own, NOWHERE), "away": away})
 
-        rows = unit.withColumn("__p", place("__v")).select(*unit.columns, "__p.cell", "__p.away")
-        each = rows.groupBy(*keys, "cell").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high"))
-        known = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cell", "n", "low", "high"))).alias("cells"))
-        return Cells(rows.drop("away"), known, centres, keys)
+        placed = references.withColumn("__p", place("vector"))
+        rows = placed.select(*[c for c in references.columns if c != "vector"], F.col("__p.v").alias("__v"), "__p.cell", F.col("__p.away").alias("__away"))
+        return Cells(rows, known_of(rows, keys), centres, keys)
 
-    def save(self, folder: str) -> None:
-        """Rows in a folder for each cell, so that cells that no query opens need not be read."""
+    def save(self, folder: str) -> Cells:
+        """Rows in a folder for each cell, so that cells that no query opens need not be read; a cell of many rows is written by several tasks. Returns the index as it was written, every reference placed once."""
         spark = self.rows.sparkSession
-        self.rows.repartition("cell", F.pmod(F.xxhash64("ref_id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
-        self.known.write.mode("overwrite").parquet(f"{folder}/known")
+        self.rows.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
+        known_of(spark.read.schema(self.rows.schema).parquet(f"{folder}/rows"), self.same).write.mode("overwrite").parquet(f"{folder}/known")
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
+        return Cells.load(spark, folder, self.rows.schema)
 
     @staticmethod
-    def load(spark: SparkSession, folder: str) -> Cells:
+    def load(spark: SparkSession, folder: str, schema: StructType | None = None) -> Cells:
         centres = np.array([r["centre"] for r in spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()])
         known = spark.read.parquet(f"{folder}/known")
-        return Cells(spark.read.parquet(f"{folder}/rows"), known, centres, [c for c in known.columns if c != "cells"])
+        rows = spark.read if schema is None else spark.read.schema(schema)  # an empty index has no file to tell it
+        return Cells(rows.parquet(f"{folder}/rows"), known, centres, [c for c in known.columns if c != "cells"])
 
     # --- search ---
 
@@ -141,7 +154,7 @@ class Cells:
             for own, cells in zip(blocks, known, strict=True):
                 cell, n = (np.array([c[f] for c in cells]) for f in ("cell", "n"))
                 low, high = (np.array([c[f] for c in cells], dtype=np.float64) for f in ("low", "high"))
-                vectors = np.array([list(x["v"]) for x in own], dtype=np.float64)
+                vectors = unit(np.array([list(x["v"]) for x in own], dtype=np.float64))
                 top = np.where(cell == NOWHERE, 0.0, ceilings(vectors, sent.value[np.maximum(cell, 0)], low, high))
                 order = np.argsort(-top, axis=1, kind="stable")
                 before = np.cumsum(n[order], axis=1) - n[order]
@@ -152,7 +165,7 @@ class Cells:
                 else:
                     floor = np.array([-np.inf if x["floor"] is None else x["floor"] for x in own])
                     take = ~begun & (top >= floor[:, None] - SLACK)
-                out.append([{"cell": int(cell[j]), "own": [{"id": own[i]["id"], "v": own[i]["v"]} for i in np.flatnonzero(take[:, j])]} for j in np.flatnonzero(take.any(0))])
+                out.append([{"cell": int(cell[j]), "own": [{"id": own[i]["id"], "v": vectors[i].tolist()} for i in np.flatnonzero(take[:, j])]} for j in np.flatnonzero(take.any(0))])
             return pd.Series(out)
 
         return self.asked(queries, rows).select(*self.same, F.explode(choose("own", "cells")).alias("x")).select(*self.same, "x.cell", "x.own")
@@ -182,7 +195,7 @@ class Cells:
         Queries without a usable vector find nothing. A query or reference of zeros scores 0 with all.
         """
         id_type = queries.schema["query_id"].dataType.simpleString()
-        mine = usable(queries).select(*self.same, "query_id", normalized(F.col("vector")).alias("__v"))
+        mine = usable(queries).select(*self.same, "query_id", F.col("vector").alias("__v"))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id")
 
         def ranked(found: DataFrame) -> DataFrame:
@@ -196,7 +209,7 @@ class Cells:
     def shares(self, queries: DataFrame, k: int, rows: int = 1000) -> DataFrame:
         """(query_id, looked_at, indexed): how many references of the opened cells a query of `nearest` is compared with, of how many that its filters leave."""
         id_type = queries.schema["query_id"].dataType.simpleString()
-        mine = usable(queries).select(*self.same, "query_id", normalized(F.col("vector")).alias("__v"))
+        mine = usable(queries).select(*self.same, "query_id", F.col("vector").alias("__v"))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id")
         begun = self.opened(mine, k, True, rows)
         floors = self.met(begun, k, id_type, rows).withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,10 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def cells(spark: SparkSession, sf_dir: str, same: bool) -> DataFrame:
-    """The five nearest by cells and bounds: what `knn_topk` and `knn_filtered` find by meeting all."""
+    """The five nearest by cells and bounds, from an index written to the shared folder: what `knn_topk` and `knn_filtered` find by meeting all."""
     asked, references = sides(spark, sf_dir)
-    found = Cells.build(references, ["label"] if same else None).nearest(asked, 5)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp"
+    found = Cells.build(references, ["label"] if same else None).save(f"{base}/cells-{uuid.uuid4().hex}").nearest(asked, 5)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "ref_id", F.round("score", 5).alias("score"))
 
 
