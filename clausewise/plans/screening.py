@@ -189,8 +189,8 @@ REFERENCE_PENALTY = "Сторона уплачивает пеню 0,1% за ка
 def compared_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What differs between each line's penalty, in all wordings, and a reference of 0,1 % a day, 10 % at most."""
     rows = factory.clauses(spark, sf_dir, "penalty.daily_rate").select("v", "n", "p", F.lit("penalty").alias("category"), "text", F.lit(REFERENCE_PENALTY).alias("reference_text"))
-    out = compare.with_differences(rows).select("v", "p", F.array_join("differences", " ").alias("differences"))
-    return out.groupBy("v", "p", "differences").agg(F.count("*").alias("lines"))
+    out = compare.with_differences(factory.once(rows)).select("v", "p", "lines", F.array_join("differences", " ").alias("differences"))
+    return out.groupBy("v", "p", "differences").agg(F.sum("lines").alias("lines"))
 
 
 _RATE = "CASE WHEN v < 2 THEN CASE WHEN p NOT IN (0, 1, 10) THEN 'Дневная пеня: 0,' || p || ' %, в образце 0,1 %.' END ELSE 'Дневная пеня: ' || n || ' %, в образце 0,1 %.' END"
@@ -216,7 +216,7 @@ def compared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What differs between each line's clause and a reference, in every category that comparison knows, and one that it doesn't."""
     made = factory.worded(factory.lines(spark, sf_dir).withColumn("v", F.pmod(F.col("k") + F.col("n"), F.lit(len(COMPARISONS)))), [(text, category, reference, "", "") for category, text, reference, _ in COMPARISONS])
     rows = made.select("v", "n", F.col("contract_type").alias("category"), "text", F.col("lang").alias("reference_text"))
-    return compare.with_differences(rows).groupBy("v", "n", F.array_join("differences", " ").alias("differences")).agg(F.count("*").alias("lines"))
+    return compare.with_differences(factory.once(rows)).groupBy("v", "n", F.array_join("differences", " ").alias("differences")).agg(F.sum("lines").alias("lines"))
 
 
 TERMS_SQL = f"SELECT v, n, CASE {' '.join(f'WHEN v = {v} THEN {c[3]}' for v, c in enumerate(COMPARISONS))} END AS differences, count(*) AS lines FROM (SELECT (k + n) % {len(COMPARISONS)} AS v, n FROM (SELECT {factory.PARAMETERS_SQL} FROM lineitem)) GROUP BY ALL"
@@ -265,7 +265,7 @@ def mock_reply(prompt: str) -> str:
 def llm_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses of every contract on payment by advance, assessed by a mock: what became of them. Equal prompts are one call."""
     keep = kept(spark)
-    lines = factory.clauses(spark, sf_dir, "payment.full_prepayment").withColumn("doc_id", F.monotonically_increasing_id())
+    lines = factory.dealt(factory.clauses(spark, sf_dir, "payment.full_prepayment")).withColumn("doc_id", F.monotonically_increasing_id())
     clauses = lines.select("doc_id", "party_role", F.lit("1").alias("clause_id"), F.lit(0).alias("clause_ord"), F.lit(None).cast("string").alias("section_title"), "text", "lang")
     answers, _ = assess.assessed(clauses, extraction.Mock(mock_reply), "mock", spark.createDataFrame([], assess.CACHE), keep)
     return assess.counters(assess.judged(answers))

@@ -125,3 +125,12 @@ def test_similar_texts_and_json(spark):
 def test_files():
     assert files.plain("Договор".encode("cp1251")) == ("Договор", ["not UTF-8: read as cp1251"])
     assert files.load(b"x", "docx")[0] is None and files.load(b"x", None) == (None, None, ["unsupported format"])
+
+
+def test_lines_of_equal_words_are_worked_out_once(spark, sf_dir, monkeypatch):
+    given, real = [], catalogue.rules.hits
+    monkeypatch.setattr(catalogue.rules, "hits", lambda made, chosen: given.append(made) or real(made, chosen))
+    catalogue.rule(spark, sf_dir, "payment.deferral")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert given[0].count() == given[0].select("v", "n", "p", "text").distinct().count() < lines
+    assert given[0].agg({"lines": "sum"}).first()[0] == lines
