@@ -527,3 +527,19 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert once == again and len({r["shard"] for r in kept["sharding"].collect()}) == 24
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_similar_texts_are_joined_alike_in_any_number_of_rounds(spark, monkeypatch):
+    """What is moved at once is bounded: many small rounds of meetings and of pairs find the groups that one finds."""
+    from clausewise.llm import similar
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(6)] + [" ".join(words[::-1]), " ".join(words[::-1] + ["end"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = sorted(r["doc_id"] for r in simhash.representatives(df, similar=0.8).collect())
+    parts, real = [], similar.rounds
+    monkeypatch.setattr(similar, "rounds", lambda rows, key, most: (parts.append(key) or x for x in real(rows, key, most)))
+    for name, value in (("LEAST_MEETINGS", 5), ("MEETINGS", 0), ("LEAST_PAIRS", 2), ("PAIRS", 0)):
+        monkeypatch.setattr(similar, name, value)
+    assert sorted(r["doc_id"] for r in simhash.representatives(df, similar=0.8).collect()) == one == [0, 6]
+    assert parts.count("x") > 2 and parts.count("a") > 2
