@@ -543,3 +543,17 @@ def test_similar_texts_are_joined_alike_in_any_number_of_rounds(spark, monkeypat
         monkeypatch.setattr(similar, name, value)
     assert sorted(r["doc_id"] for r in simhash.representatives(df, similar=0.8).collect()) == one == [0, 6]
     assert parts.count("x") > 2 and parts.count("a") > 2
+
+
+def test_bm25_of_a_block_of_queries_equals_each_alone():
+    """To the last bit, with copies, frequent and rare terms, unknown terms, no terms, and fewer documents than k."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 80) % 3000) for _ in range(700)] + [None, "", "w1"]
+    for n in (4, len(texts)):
+        some = texts[:n] + texts[:3]
+        s = bm25.Shard.of(list(range(len(some))), some)
+        s.prepare(float(s.lengths.mean()))
+        s.ready()
+        queries = [(t, c * np.log(1 + 900 / (1 + (t % 97).astype(float)))) for t, c, _ in map(bm25.term_counts, [*some[::9], "nowhere", ""])]
+        for (at, score), (own, alone) in zip(s.best_of(queries, 10), (s.best(*q, 10) for q in queries), strict=True):
+            assert at.tolist() == own.tolist() and score.tolist() == alone.tolist()
