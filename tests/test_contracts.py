@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausewise.functions import numbers, text
-from clausewise.operators import extraction, measures, retrieval, rules, segment
+from clausewise.operators import extraction, findings, measures, retrieval, rules, segment
 from clausewise.plans import catalogue, factory
 from clausewise.sources import files
 
@@ -134,3 +134,15 @@ def test_lines_of_equal_words_are_worked_out_once(spark, sf_dir, monkeypatch):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert given[0].count() == given[0].select("v", "n", "p", "text").distinct().count() < lines
     assert given[0].agg({"lines": "sum"}).first()[0] == lines
+
+
+def test_clauses_of_equal_words_are_worked_out_once(spark, monkeypatch):
+    given, real = [], rules.hits
+    monkeypatch.setattr(findings.rules, "hits", lambda made, chosen: given.append(made) or real(made, chosen))
+    said, none = EXAMPLES[0][0], "За просрочку пеня не уплачивается."
+    made = [(d, str(i), i, t, lang, "clause") for d in range(20) for i, (t, lang) in enumerate([(said, "ru"), (none, "ru"), (said, None)])]
+    clauses = spark.createDataFrame(made, "doc_id long, clause_id string, clause_ord int, text string, lang string, kind string")
+    asked = spark.createDataFrame([(d, r) for d in range(20) for r in ("tenant", "landlord", "nobody")], "doc_id long, party_role string")
+    got = findings.of_clauses(clauses, asked, (rules.daily_rate,)).where("clause_id = '0'").select("doc_id", "party_role", "clause_ord", "level", F.col("evidence")[0]["quote"]).collect()
+    assert sorted(map(tuple, got)) == [(d, "tenant", 0, 3, "1%") for d in range(20)]
+    assert given[0].count() == 3
