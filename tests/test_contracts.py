@@ -146,3 +146,14 @@ def test_clauses_of_equal_words_are_worked_out_once(spark, monkeypatch):
     got = findings.of_clauses(clauses, asked, (rules.daily_rate,)).where("clause_id = '0'").select("doc_id", "party_role", "clause_ord", "level", F.col("evidence")[0]["quote"]).collect()
     assert sorted(map(tuple, got)) == [(d, "tenant", 0, 3, "1%") for d in range(20)]
     assert given[0].count() == 3
+
+
+def test_equal_contracts_are_segmented_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, None if i == 9 else f"ДОГОВОР\n1. Предмет\n1.1. Раз {i % 2}.\n") for i in range(10)], "doc_id long, text string")
+    whole = {c: sorted(map(str, getattr(segment, f)(docs).select(c).collect())) for f, c in (("clauses", "text"), ("clauses", "doc_id"))}
+    spoken = sorted(map(str, segment.document_language(segment.clauses(docs)).collect()))
+    given, real = [], segment.clauses
+    monkeypatch.setattr(segment, "clauses", lambda d: given.append(d) or real(d))
+    assert {c: sorted(map(str, segment.clauses_once(docs).select(c).collect())) for c in whole} == whole
+    assert sorted(map(str, segment.languages_once(docs).collect())) == spoken
+    assert [d.count() for d in given] == [3, 3, 3]
