@@ -557,3 +557,27 @@ def test_bm25_of_a_block_of_queries_equals_each_alone():
         queries = [(t, c * np.log(1 + 900 / (1 + (t % 97).astype(float)))) for t, c, _ in map(bm25.term_counts, [*some[::9], "nowhere", ""])]
         for (at, score), (own, alone) in zip(s.best_of(queries, 10), (s.best(*q, 10) for q in queries), strict=True):
             assert at.tolist() == own.tolist() and score.tolist() == alone.tolist()
+
+
+def test_texts_meet_only_where_sizes_and_orders_leave_a_similar_one(spark):
+    """Pairs by brute force all meet; texts that share a shingle with none near their size, or too late for it, don't."""
+    from clausewise.llm import similar
+
+    rng = np.random.default_rng(3)
+    base = [[f"w{v}" for v in rng.integers(0, 40, n)] for n in (5, 9, 30, 60, 61, 120)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for cut in (1, 2, 4, 8):
+            texts += [" ".join(b[cut:]), " ".join(b + b[:cut]), " ".join("z" if i % 29 == cut else w for i, w in enumerate(b))]
+    texts = sorted(set(texts))
+    sets = [set(similar.shingle_set(t, 2).tolist()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    for least in (0.3, 0.8):
+        want = {(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9}
+        places = {}
+        for r in similar.met(df, 2, least).collect():
+            places.setdefault((r["x"], r["block"]), set()).add(r["key"])
+        together = {(i, j) for p in places.values() for i in p for j in p if j < i}
+        assert want and want <= together and all(len(p) > 1 for p in places.values())
+        sizes = [len(s) for s in sets]
+        assert least < 0.5 or all(min(sizes[i] for i in p) >= 0.8 * sorted(sizes[i] for i in p)[1] - 1e-9 for p in places.values())
