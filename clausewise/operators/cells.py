@@ -17,6 +17,8 @@ CENTRE_BYTES = 32_000_000
 FITTED = 64
 #: The cell of vectors without a direction: their score is 0 to all.
 NOWHERE = -1
+#: What a batch of rows for a worker holds at most, but for a row of its own: rows here are blocks of vectors, so a count of rows bounds nothing.
+BATCH_BYTES = 16_000_000
 #: Roots of sums near zero are off by some 1e-8; sums of the same products differ in their last digits.
 AWAY_SLACK, SLACK = 1e-7, 1e-9
 
@@ -27,6 +29,14 @@ def usable(side: DataFrame) -> DataFrame:
     return side.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.coalesce(finite, F.lit(False)))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Workers get BATCH_BYTES at once at most; a smaller bound of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Vectors at length one, zeros as they are."""
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -146,9 +156,8 @@ class Cells:
         score of its k-th so far, each opens all others whose ceiling isn't below it.
         """
         sent = self.rows.sparkSession.sparkContext.broadcast(self.centres)
-        id_type = queries.schema["query_id"].dataType.simpleString()
 
-        @F.pandas_udf(f"array<struct<cell:int,own:array<struct<id:{id_type},v:array<double>>>>>")
+        @F.pandas_udf("array<struct<cell:int,at:array<int>>>")
         def choose(blocks: pd.Series, known: pd.Series) -> pd.Series:
             out = []
             for own, cells in zip(blocks, known, strict=True):
@@ -165,10 +174,12 @@ class Cells:
                 else:
                     floor = np.array([-np.inf if x["floor"] is None else x["floor"] for x in own])
                     take = ~begun & (top >= floor[:, None] - SLACK)
-                out.append([{"cell": int(cell[j]), "own": [{"id": own[i]["id"], "v": vectors[i].tolist()} for i in np.flatnonzero(take[:, j])]} for j in np.flatnonzero(take.any(0))])
+                out.append([{"cell": int(cell[j]), "at": np.flatnonzero(take[:, j]).tolist()} for j in np.flatnonzero(take.any(0))])
             return pd.Series(out)
 
-        return self.asked(queries, rows).select(*self.same, F.explode(choose("own", "cells")).alias("x")).select(*self.same, "x.cell", "x.own")
+        # a worker names places in the block; a cell's queries are copied from there row by row, not all cells' at once
+        each = self.asked(queries, rows).select(*self.same, "own", F.explode(choose("own", "cells")).alias("x"))
+        return each.select(*self.same, "x.cell", F.transform("x.at", lambda i: F.struct(F.get("own", i)["id"].alias("id"), F.get("own", i)["v"].alias("v"))).alias("own"))
 
     def met(self, opened: DataFrame, k: int, id_type: str, rows: int) -> DataFrame:
         """(query_id, ref_id, score): k of each block of an opened cell. Cells are dealt to blocks of about so many references, whatever their size."""
@@ -182,7 +193,7 @@ class Cells:
         def best(left: pd.Series, right: pd.Series) -> pd.Series:
             out = []
             for own, others in zip(left, right, strict=True):
-                scores = (np.array([list(x["v"]) for x in own]) @ np.array([list(x["v"]) for x in others]).T).round(12)
+                scores = (unit(np.array([list(x["v"]) for x in own], dtype=np.float64)) @ np.array([list(x["v"]) for x in others]).T).round(12)
                 tops = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # others are in order of their ids, so ties go to smaller ones
                 out.append([{"query_id": x["id"], "ref_id": others[j]["id"], "score": float(scores[i, j])} for i, x in enumerate(own) for j in tops[i].tolist()])
             return pd.Series(out)
@@ -194,6 +205,7 @@ class Cells:
 
         Queries without a usable vector find nothing. A query or reference of zeros scores 0 with all.
         """
+        bounded_batches(self.rows.sparkSession)
         id_type = queries.schema["query_id"].dataType.simpleString()
         mine = usable(queries).select(*self.same, "query_id", F.col("vector").alias("__v"))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id")

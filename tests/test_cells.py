@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewise.operators.cells import Cells, ceilings
+from clausewise.operators.cells import BATCH_BYTES, Cells, bounded_batches, ceilings
 from clausewise.plans import indexed
 
 SCHEMA = "id long, vector array<double>, kind string"
@@ -95,3 +95,28 @@ def test_queries_of_cells(spark, sf_dir):
     for name, (query, _) in indexed.queries().items():
         got = sorted(map(tuple, query(spark, sf_dir).collect()))
         assert got == sorted(map(tuple, knn(spark, sf_dir, name.endswith("filtered")).collect())) and got
+
+
+def test_workers_get_bounded_batches(spark):
+    """Rows for workers are blocks of vectors: a batch is bounded by its bytes; a smaller bound of the session's own stays."""
+    name, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        rng = np.random.default_rng(3)
+        rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+        index = Cells.build(spark.createDataFrame(rows, "ref_id long, vector array<double>"), cells=4)
+        asked = spark.createDataFrame(rows[:9], "query_id long, vector array<double>")
+        found = index.nearest(asked, 3, rows=4)
+        assert int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES
+        best = {}
+        for i, v in rows[:9]:
+            score = {j: round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 9) for j, w in rows}
+            best[i] = sorted(score, key=lambda j: (-score[j], j))[:3]
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["ref_id"])
+        assert got == best
+        spark.conf.set(name, "1000")
+        bounded_batches(spark)
+        assert spark.conf.get(name).rstrip("b") == "1000"
+    finally:
+        spark.conf.set(name, before)
