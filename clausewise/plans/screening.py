@@ -263,12 +263,12 @@ def mock_reply(prompt: str) -> str:
 
 
 def llm_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses of every contract on payment by advance, assessed by a mock: what became of them. Equal prompts are one call."""
+    """Clauses of every contract on payment by advance, assessed by a mock: what became of them. Equal clauses are assessed once and counted."""
     keep = kept(spark)
-    lines = factory.dealt(factory.clauses(spark, sf_dir, "payment.full_prepayment")).withColumn("doc_id", F.monotonically_increasing_id())
-    clauses = lines.select("doc_id", "party_role", F.lit("1").alias("clause_id"), F.lit(0).alias("clause_ord"), F.lit(None).cast("string").alias("section_title"), "text", "lang")
+    lines = factory.once(factory.clauses(spark, sf_dir, "payment.full_prepayment").select("party_role", "text", "lang"))
+    clauses = lines.select("party_role", F.lit("1").alias("clause_id"), F.lit(None).cast("string").alias("section_title"), "text", "lang", "lines")
     answers, _ = assess.assessed(clauses, extraction.Mock(mock_reply), "mock", spark.createDataFrame([], assess.CACHE), keep)
-    return assess.counters(assess.judged(answers))
+    return assess.counters(assess.judged(answers), "lines")
 
 
 def queries() -> dict[str, tuple]:

@@ -336,3 +336,13 @@ def test_intervals_and_parties(spark):
     party = "array<struct<role:string,name:string,bin:string>>"
     df = spark.createDataFrame([([("buyer", "ТОО «Альфа»", None), ("supplier", "АО Бета", "1")], [("supplier", "Бета", "1"), ("buyer", "альфа", None)])], f"a {party}, b {party}")
     assert df.select(extraction.same_parties(F.col("a"), F.col("b")).alias("s")).first()["s"]
+
+
+def test_rows_that_stand_for_equal_clauses(spark):
+    """What becomes of clauses is the same whether each is a row or equal ones are a row with their number."""
+    each = [("accepted", False)] * 3 + [("accepted", True)] * 2 + [("refusal", False)]
+    grouped = [("accepted", False, 3), ("accepted", True, 2), ("refusal", False, 1)]
+    one = assess.counters(spark.createDataFrame(each, "disposition string, cached boolean"))
+    many = assess.counters(spark.createDataFrame(grouped, "disposition string, cached boolean, lines long"), "lines")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) == [("accepted", 5, 2), ("refusal", 1, 0)]
+    assert one.dtypes == many.dtypes
