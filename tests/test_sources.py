@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clausewise.operators import analyzer, assess, explain, extraction, findings, learned, measures, retrieval, rules, segment
 from clausewise.plans import factory, shapes
-from clausewise.sources import corpus, files, vectors, word
+from clausewise.sources import corpus, files, report, vectors, word
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -291,6 +291,21 @@ def test_reports(spark, tmp_path):
     assert json.loads(analyzer.json(report).where("doc_id = 1 and party_role = 'supplier'").first()["json"])["high"] == 1
 
 
+def test_reports_send_no_contracts_through_the_driver(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "ДОГОВОР ПОСТАВКИ\n1. Предмет\n1.1. Поставщик поставляет товар.\n1.2. За просрочку Поставщик уплачивает пеню 1% за каждый день.\n")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "supplier")], "doc_id int, party_role string")
+    keep = keeper(spark, tmp_path)
+    detect = lambda c, q: findings.dedupe(findings.of_clauses(c, q, (rules.daily_rate,)))
+    reports = analyzer.reports(docs, asked, keep, detect)
+    clauses = keep(segment.clauses(docs))
+    pages = report.html(keep(findings.ordered(detect(clauses, asked))), clauses)
+    for made in (reports, pages):
+        assert "BroadcastExchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert reports.first()["clause_texts"] == {"1.2": "За просрочку Поставщик уплачивает пеню 1% за каждый день."}
+    said = pages.first()["html"]
+    assert "<blockquote>" in said and all(t in said for t in explain.TEXTS["penalty.daily_rate"][:3]) and "ст. 297" in said
+
+
 def test_every_rule_is_explained():
     assert set(factory.WORDINGS) <= set(explain.TEXTS)
 
