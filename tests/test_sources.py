@@ -276,6 +276,22 @@ def test_learning(spark, tmp_path):
         learned.train(frame.where("risky = 1"), keep, k=2)
 
 
+def test_a_wording_is_scored_once(spark):
+    class Model:
+        def scored(self, rows):
+            self.seen = rows.count()
+            return rows.select("*", F.length("text").cast("double").alias("score"), F.col("party_role").alias("category"), F.lit(1).alias("level"), F.array().cast("array<string>").alias("reasons"))
+
+    said = ["Арендатор уплачивает пеню 1% за каждый день.", "Помещение осмотрено.", "Помещение осмотрено.", " "]
+    clauses = spark.createDataFrame([(1 + i % 2, f"2.{i}", i, t, "ru", "clause", "lease") for i, t in enumerate(said)], "doc_id int, clause_id string, clause_ord int, text string, lang string, kind string, category string")
+    asked = spark.createDataFrame([(1, "tenant"), (2, "tenant"), (2, None)], "doc_id int, party_role string")
+    model = Model()
+    got = learned.scored(clauses, asked, model)
+    rows = sorted((r["doc_id"], r["clause_id"], r["party_role"] or "", r["score"], r["category"]) for r in got.collect())
+    assert rows == [(1, "2.0", "tenant", float(len(said[0])), "tenant"), (1, "2.2", "tenant", 20.0, "tenant"), (2, "2.1", "", 20.0, None), (2, "2.1", "tenant", 20.0, "tenant")]
+    assert model.seen == 3 and {"relative", "tokens", "level", "reasons"} <= set(got.columns) and got.columns.count("category") == 1
+
+
 def test_reports(spark, tmp_path):
     docs = spark.createDataFrame([(1, "ДОГОВОР ПОСТАВКИ\n1. Предмет\n1.1. Поставщик поставляет товар.\n2. Ответственность\n2.1. За просрочку Поставщик уплачивает пеню 1% за каждый день.\n"), (2, "")], "doc_id int, text string")
     asked = spark.createDataFrame([(1, "supplier"), (1, "tenant"), (2, "buyer")], "doc_id int, party_role string")
