@@ -331,6 +331,21 @@ def segmented(spark, texts):
     return [r.asDict(recursive=True) for r in segment.segmented(df).orderBy("id").collect()]
 
 
+def test_looks_by_few_letters_are_those_by_all(spark):
+    """What is ruled out by a line's end or its first small letters is what the whole pattern or count rules out."""
+    heads = ["А" * n + "а" * (size - n) for size in (90, 100) for n in range(55, 86)] + ["ОПЛАТА", "ОПЛАта Производится", "Оплата", "Б" * 7 + "б" * 3, "x 1"]
+    ends = [a + b for a in ("согласно ", "", "и,", "тип", "с") for b in ("п.", "пп.", "ст.", "СТ.", "пункт", "пункте 3", "№", "№.", "разделом", "статья.", "бап", "тармақта", ";", "п", "ппп.")]
+    rows = spark.createDataFrame([(t,) for t in heads + ends], "t string")
+    t = F.col("t")
+    share = segment.capitals(t)
+    got = rows.select(
+        "t", (segment.refers(t) == t.rlike(segment.REFERENCE)).alias("refers"), (~segment.small(t, 100, segment.CAPITAL_HEADING) | (share < segment.CAPITAL_HEADING)).alias("heading"),
+        ((F.length("t") > 90) | ~segment.small(t, 90, segment.CAPITAL_TITLE) | (share < segment.CAPITAL_TITLE)).alias("title"),
+    )
+    assert [r["t"] for r in got.collect() if not (r["refers"] and r["heading"] and r["title"])] == []
+    assert rows.where(segment.refers(t)).count() > 20 and rows.where(segment.small(t, 100, segment.CAPITAL_HEADING)).count() > 5
+
+
 def test_shapes(spark):
     texts = [t.replace("{k}", "15") for t, _ in shapes.SHAPES]
     for text, (_, want), got in zip(texts, shapes.SHAPES, segmented(spark, texts), strict=True):
