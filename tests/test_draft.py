@@ -43,3 +43,9 @@ def test_lines_go_on(spark):
     assert r["auto_renewal"] and r["lines"]["auto_renewal"] == ["1.1. Договор считается продленным на год."]
     assert r["termination_notice_days"] == 5
     assert [tuple(p) for p in r["parties"]] == [("tenant", "ТОО «Дом»", "123456789012")]
+
+
+def test_rules_share_the_sentences_that_they_look_for(spark):
+    rows = spark.createDataFrame([(1, "lease", "1.1. Срок.")], "doc_id int, contract_type string, text string")
+    said = draft.drafted(rows)._jdf.queryExecution().analyzed().toString()
+    assert said.count(draft.RULES["payment_penalty_rate_percent_per_day"].lines) == 1
