@@ -22,9 +22,9 @@ def default_role(contract_type: Column) -> Column:
 
 
 def parsed(documents: DataFrame) -> DataFrame:
-    """documents (doc_id, text) with title, warnings and the detected contract type, and their clauses as an array."""
-    s = segment.segmented(documents).withColumnsRenamed({"__title": "title", "__warnings": "warnings"})
-    return s.withColumn("detected_type", best_type(type_scores(F.col("text"), F.col("title"))))
+    """documents (doc_id, text) without their text, with title, warnings and the detected contract type, and their clauses as an array."""
+    s = segment.segmented_by_form(documents.withColumn("__head", F.substring("text", 1, 3000))).withColumnsRenamed({"__title": "title", "__warnings": "warnings"})
+    return s.withColumn("detected_type", best_type(type_scores(F.col("__head"), F.col("title")))).drop("__head")
 
 
 def warnings(detected: Column, role: Column, analysable: Column, no_model: bool) -> Column:
@@ -47,7 +47,7 @@ def reports(documents: DataFrame, requests: DataFrame, keep, detect: Callable[[D
     contract's type is that of the role, whatever the text looks like. Files say little of how large rows
     are in memory (a contract's words repeat), so what is read back is never sent to all through the driver.
     """
-    read = keep(parsed(documents.select("doc_id", "text")).drop("text"))  # segmented once
+    read = keep(parsed(documents.select("doc_id", "text")))  # segmented once
     clauses = segment.of_segmented(read, ["doc_id"])
     found = keep(explained(findings.ordered(detect(clauses, requests))))
     if references is not None:

@@ -157,3 +157,21 @@ def test_equal_contracts_are_segmented_once(spark, monkeypatch):
     assert {c: sorted(map(str, segment.clauses_once(docs).select(c).collect())) for c in whole} == whole
     assert sorted(map(str, segment.languages_once(docs).collect())) == spoken
     assert [d.count() for d in given] == [3, 3, 3]
+
+
+def test_contracts_of_one_form_are_segmented_once(spark, monkeypatch):
+    """Numbers that nobody reads don't make another form; all that is read does."""
+    body = "ДОГОВОР № {a}\nг. Алматы, {a} мая\n1. Предмет\n1.1. Арендатор уплачивает Арендодателю {a}0% за каждый день, всего {b} раз.\n2. Цена {b}\nПриложение № 1 к договору {b}, которое составлено сторонами в двух экземплярах.\n1. Спецификация {a}.\n"
+    texts = [body.format(a=i % 5 + 1, b=i // 10 + 1) for i in range(20)] + [body.format(a=12, b=1), "", None]
+    texts += [body.format(a=3, b=1).replace("1.1.", n) for n in ("1.2.", "1.5.", "п. 1.1.")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = lambda d: sorted(map(str, d.collect()))
+    whole, read = own(segment.clauses(docs)), own(segment.segmented(docs).drop("text"))
+    given, real = [], segment.segmented
+    monkeypatch.setattr(segment, "segmented", lambda d: given.append(d) or real(d))
+    assert own(segment.clauses_by_form(docs)) == whole
+    clauses = F.transform("__clauses", lambda c: c.dropFields("lang"))
+    assert own(segment.segmented_by_form(docs).select("doc_id", "__title", clauses.alias("__clauses"), "__warnings")) == read
+    one = [f"ДОГОВОР № {i}\n1. Предмет\n1.1. Арендатор уплачивает Арендодателю {i + 3}% за каждый день просрочки.\n" for i in range(10, 30)]
+    segment.clauses_by_form(spark.createDataFrame(list(enumerate(one)), "doc_id long, text string"))
+    assert given[-1].count() == 1
