@@ -276,6 +276,18 @@ def test_learning(spark, tmp_path):
         learned.train(frame.where("risky = 1"), keep, k=2)
 
 
+def test_every_row_is_learned_from(spark, tmp_path):
+    """A risky wording that occurs once among thousands of rows is known; equal rows are one, and count."""
+    said = ["Помещение осмотрено.", "Срок указан в акте.", "За просрочку Арендатор уплачивает пеню 1% за каждый день.", "Арендатор уплачивает пеню 2% за каждый день."]
+    rows = spark.range(6_000).selectExpr("cast(id div 4 as int) AS doc_id", "cast(id as string) AS clause_id", f"element_at(array({', '.join(map(repr, said))}), cast(id % 4 as int) + 1) AS text", "int(id % 4 > 1) AS risky", "if(id % 4 > 1, 'penalty', null) AS category", "if(id % 4 > 1, 3, null) AS level")
+    rare = spark.range(3).selectExpr("cast(id + 9000 as int) AS doc_id", "'r' AS clause_id", "'Задаток не возвращается.' AS text", "1 AS risky", "'termination' AS category", "2 AS level")
+    frame = rows.unionByName(rare).withColumn("lang", F.lit("ru")).withColumn("party_role", F.lit("tenant"))
+    kept, keep = [], keeper(spark, tmp_path)
+    model = learned.train(frame, lambda df, schema=None: kept.append(keep(df, schema)) or kept[-1], k=2)
+    assert model.categories == ["penalty", "termination"] and model.levels == [2, 3] and "задаток" in model.terms.known["words"]
+    assert kept[0].agg({"n": "sum"}).first()[0] == 6_003 and kept[1].agg({"n": "sum"}).first()[0] == 6_003 and kept[1].count() <= 10
+
+
 def test_a_wording_is_scored_once(spark):
     class Model:
         def scored(self, rows):
